@@ -29,6 +29,8 @@ SIZE = END + 1
 TRAIN_ROWS = 40_000
 #: Entries of the lexicon, at most, and the least documents of an entry.
 LEXICON, LEAST_DOCS, LEAST_RATE = 400, 3, 0.6
+#: Least log-likelihood ratio statistic of an entry: high enough that chance gives no entry among millions of words.
+EVIDENCE = 32.0
 
 WORDS = re.compile(r"[^\W\d_]+")
 APART = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){3,}(?!\w)")
@@ -147,8 +149,11 @@ def learn(rows: DataFrame, costs: np.ndarray) -> tuple[dict[str, float], float]:
     if total is None or not total.t or total.t == total.n:
         return {}, -2.0 if total is None or not total.t else 2.0
     rate = (F.col("t") + 0.5) / (F.col("n") + 1)
-    top = sums.filter((F.col("w") != "") & (F.col("t") >= LEAST_DOCS) & (rate >= LEAST_RATE)).orderBy(F.desc(F.col("t") * rate), "w").limit(LEXICON).collect()
     t, n = total.t, total.n - total.t
+    gain = lambda k, of, base: F.when(k > 0, 2 * k * F.log(k / of / base)).otherwise(0.0)
+    evidence = gain(F.col("t"), F.col("n"), t / total.n) + gain(F.col("n") - F.col("t"), F.col("n"), n / total.n)
+    sure = (F.col("w") != "") & (F.col("t") >= LEAST_DOCS) & (rate >= LEAST_RATE) & (evidence >= EVIDENCE)
+    top = sums.filter(sure).orderBy(F.desc(evidence), "w").limit(LEXICON).collect()
     weights = {r.w: math.log((r.t + 0.5) / (t + 1)) - math.log((r.n - r.t + 0.5) / (n + 1)) for r in top}
     return weights, math.log(0.02)
 
