@@ -1,4 +1,365 @@
-"""The queries of the engine and their SQL for another engine."""
+"""The queries of the engine and their SQL for another engine. Names of columns agree on both sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import bits as B
+from .operators import chunks as C
+from .operators import models as M
+from .plans import compress as P
+from .sources import containers as H
+from .sources import tokenizers as T
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+SIZE, OVERLAP = 128, 16
+SWEEP = [(64, 8), (128, 16), (256, 32), (128, 0)]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+# SQL pieces
+ALPHA = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in B.byte_alphabet()) + "]"
+BYTES = "SELECT doc_id, lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) - 1 AS pos FROM documents"
+SYMS = f"SELECT doc_id, lang, pos, ('0x' || h)::INTEGER AS sym FROM ({BYTES})"
+CDF = f"""WITH s AS ({SYMS}), c AS (SELECT sym, count(*) AS n FROM s GROUP BY sym), t AS (SELECT sum(n) AS al FROM c),
+ e AS (SELECT r.range::INTEGER AS sym, coalesce(n / al::DOUBLE, 0) AS p FROM range(256) r CROSS JOIN t LEFT JOIN c ON c.sym = r.range),
+ q AS (SELECT sym, greatest(1, floor(p::FLOAT::DOUBLE * 65536))::BIGINT AS n FROM e),
+ cdf AS (SELECT sym, (sum(n) OVER (ORDER BY sym) - n)::BIGINT AS lo, (sum(n) OVER (ORDER BY sym))::BIGINT AS hi, (sum(n) OVER ())::BIGINT AS total FROM q)"""
+LE = lambda x, w: " || ".join(f"substr(printf('%0{2 * w}X', ({x})::BIGINT), {2 * k + 1}, 2)" for k in reversed(range(w)))
+HEAD = f"'4C4C4D43' || '01' || {LE('octet_length(encode(text))', 4)} || {LE('length(text)', 4)} || {LE('12818277', 4)} || '0000000000000000'"
+ENCODED = f"array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: {ALPHA}[('0x' || h)::INTEGER + 1]), '')"
+MERGED = f"regexp_replace({ENCODED}, '(.)', chr(1) || '\\1' || chr(2), 'g')"
+for _m in T.MERGES:
+    _a, _b = _m.split(" ")
+    MERGED = f"replace({MERGED}, chr(1) || '{_a}' || chr(2) || chr(1) || '{_b}' || chr(2), chr(1) || '{_a}{_b}' || chr(2))"
+NCHUNKS = f"ceil(octet_length(encode(text)) / {SIZE}::DOUBLE)::INTEGER"
+
+
+def packed(text: str = "text"):
+    return H.pack_header(F.octet_length(text), F.length(text), F.lit(M.LAYERS * 1_000_000 + M.WIDTH * 1_000 + M.VOCABULARY))
+
+
+@query("SELECT doc_id, octet_length(encode(text))::INTEGER AS n_bytes FROM documents")
+def q_utf8_size(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.octet_length("text").alias("n_bytes"))
+
+
+@query(f"SELECT range::BIGINT AS byte, {ALPHA}[range + 1] AS ch FROM range(256)")
+def q_byte_alphabet(spark, sf_dir):
+    plain = F.col("id").between(0x21, 0x7E) | F.col("id").between(0xA1, 0xAC) | (F.col("id") >= 0xAE)
+    rows = spark.range(256).withColumn("plain", plain)
+    nth = F.sum((~F.col("plain")).cast("int")).over(W.orderBy("id"))
+    return rows.select(F.col("id").alias("byte"), F.when(plain, F.decode(F.unhex(F.lpad(F.hex("id"), 2, "0")), "ISO-8859-1")).otherwise(F.decode(F.unhex(F.lpad(F.hex(nth + 255), 4, "0")), "UTF-16BE")).alias("ch"))
+
+
+@query(f"SELECT doc_id, md5({ENCODED}) AS digest FROM documents")
+def q_byte_encode(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.md5(B.encode_bytes(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def q_byte_decode(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.md5(B.decode_bytes(B.encode_bytes(F.col("text"))).cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5(replace(replace({MERGED}, chr(1), ''), chr(2), ' ')) AS digest FROM documents")
+def q_bpe_merge(spark, sf_dir):
+    joined = F.concat(F.array_join(T.small().pieces(F.col("text")), " "), F.when(F.octet_length("text") > 0, " ").otherwise(""))
+    return docs_of(spark, sf_dir).select("doc_id", F.md5(joined.cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, (length(x) - length(replace(x, chr(1), '')))::INTEGER AS n_tokens FROM (SELECT doc_id, {MERGED} AS x FROM documents)")
+def q_token_counts(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.size(T.small().pieces(F.col("text"))).alias("n_tokens"))
+
+
+@query(f"""WITH v AS (SELECT unnest({ALPHA[:-1]}, {', '.join("'" + m.replace(' ', '') + "'" for m in T.MERGES)}]) AS token, generate_series - 1 AS id FROM generate_series(1, 1)),
+ w AS (SELECT token, (row_number() OVER () - 1)::INTEGER AS id FROM (SELECT unnest({ALPHA[:-1]}, {', '.join("'" + m.replace(' ', '') + "'" for m in T.MERGES)}]) AS token)),
+ t AS (SELECT unnest(string_split(rtrim(replace({MERGED}, chr(1), ''), chr(2)), chr(2))) AS token FROM documents)
+ SELECT w.id, count(*) AS n FROM t JOIN w ON t.token = w.token GROUP BY w.id""")
+def q_bpe_encode(spark, sf_dir):
+    return docs_of(spark, sf_dir).select(F.explode(T.small().ids(F.col("text"))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def q_bpe_decode(spark, sf_dir):
+    t = T.small()
+    return docs_of(spark, sf_dir).select("doc_id", F.md5(t.text(t.ids(F.col("text"))).cast("binary")).alias("digest"))
+
+
+@query(f"SELECT token, id FROM (SELECT token, (row_number() OVER () - 1)::INTEGER AS id FROM (SELECT unnest({ALPHA[:-1]}, {', '.join("'" + m.replace(' ', '') + "'" for m in T.MERGES)}]) AS token)) WHERE id >= 256")
+def q_token_lookup(spark, sf_dir):
+    return T.small().table(spark).filter("id >= 256")
+
+
+@query(f"SELECT doc_id, {HEAD} AS header FROM documents")
+def q_header_pack(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.hex(packed()).alias("header"))
+
+
+@query("SELECT doc_id, 'ok' AS status, 1::BIGINT AS version, octet_length(encode(text))::BIGINT AS original_length, length(text)::BIGINT AS token_count, 12818277::BIGINT AS model_hash FROM documents")
+def q_header_unpack(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", H.unpack_header(packed()).alias("h")).select("doc_id", "h.*")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'Invalid header' WHEN 2 THEN 'Invalid file format' ELSE 'Unsupported format version' END AS status, doc_id % 4 = 2 AS chunked FROM documents")
+def q_detect_format(spark, sf_dir):
+    h, k = packed(), F.col("doc_id") % 4
+    made = F.when(k == 0, h).when(k == 1, F.substring(h, 1, 10)).when(k == 2, F.concat(F.unhex(F.lit("4C4C4D50")), F.substring(h, 5, 21))).otherwise(F.concat(F.substring(h, 1, 4), F.unhex(F.lit("FF")), F.substring(h, 6, 20)))
+    return docs_of(spark, sf_dir).select("doc_id", H.status(made).alias("status"), H.is_chunked(made).alias("chunked"))
+
+
+@query(f"SELECT doc_id, base64(unhex({HEAD})) AS b64 FROM documents")
+def q_base64(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.base64(packed()).alias("b64"))
+
+
+@query("SELECT 12818277::BIGINT AS model_hash")
+def q_model_hash(spark, sf_dir):
+    return spark.range(1).select(F.expr(f"{M.LAYERS} * 1000000L + {M.WIDTH} * 1000L + {M.VOCABULARY}L").alias("model_hash"))
+
+
+def chunk_rows(spark, sf_dir, size=SIZE, overlap=OVERLAP):
+    return C.exploded(docs_of(spark, sf_dir), P.byte_tokens(F.col("text")), size, overlap, "doc_id")
+
+
+CHUNKS = "SELECT doc_id, k::INTEGER AS chunk_id, (least(n, (k + 1) * {s}) - greatest(0, k * {s} - {o}))::INTEGER AS n_tokens, (k * {s})::INTEGER AS output_start, (least(n, (k + 1) * {s}) - k * {s})::INTEGER AS output_count FROM (SELECT doc_id, n, unnest(range(ceil(n / {s}::DOUBLE)::BIGINT)) AS k FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents))"
+
+
+@query(CHUNKS.format(s=SIZE, o=OVERLAP))
+def q_chunks(spark, sf_dir):
+    return chunk_rows(spark, sf_dir).select("doc_id", "chunk_id", F.size("tokens").alias("n_tokens"), "output_start", "output_count")
+
+
+@query(" UNION ALL ".join(f"SELECT {s} AS chunk_size, {o} AS overlap_size, count(*) AS n_chunks, sum(n_tokens)::BIGINT AS coded_tokens FROM ({CHUNKS.format(s=s, o=o)})" for s, o in SWEEP))
+def q_chunk_sweep(spark, sf_dir):
+    docs, out = docs_of(spark, sf_dir).select("doc_id", P.byte_tokens(F.col("text")).alias("tokens")), None
+    for s, o in SWEEP:
+        one = C.exploded(docs, F.col("tokens"), s, o).agg(F.count("*").alias("n_chunks"), F.sum(F.size("tokens")).alias("coded_tokens")).select(F.lit(s).alias("chunk_size"), F.lit(o).alias("overlap_size"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def q_chunk_merge(spark, sf_dir):
+    rows = chunk_rows(spark, sf_dir).select("doc_id", "chunk_id", C.own_tokens(F.col("tokens"), F.col("output_count")).alias("own"))
+    whole = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "own"))).alias("c"))
+    chars = F.array_join(F.transform(F.flatten(F.transform("c", lambda x: x["own"])), lambda t: F.lpad(F.hex(t), 2, "0")), "")
+    return whole.select("doc_id", F.md5(F.unhex(chars)).alias("digest"))
+
+
+def layout(spark, sf_dir):
+    """Offsets and counts of chunks that are stored as they are, one byte for each token."""
+    docs = docs_of(spark, sf_dir).select("doc_id", F.octet_length("text").alias("n"))
+    k = F.sequence(F.lit(0), F.ceil(F.col("n") / SIZE).cast("int") - 1)
+    counts = F.transform(k, lambda i: F.least("n", (i + 1) * SIZE) - F.greatest(F.lit(0), i * SIZE - OVERLAP))
+    docs = docs.filter("n > 0").withColumn("counts", counts)
+    start = H.chunked_header_bytes(F.size("counts"))
+    return docs.withColumn("offsets", F.transform("counts", lambda _, i: start + i * SIZE + F.greatest(F.lit(0), i - 1) * OVERLAP))
+
+
+OFFSETS = f"SELECT doc_id, chunk_id, n_tokens, (25 + 6 * count(*) OVER w + coalesce(sum(n_tokens) OVER (PARTITION BY doc_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS pos FROM ({CHUNKS.format(s=SIZE, o=OVERLAP)}) WINDOW w AS (PARTITION BY doc_id)"
+
+
+@query(f"SELECT doc_id, chunk_id, pos FROM ({OFFSETS})")
+def q_chunk_offsets(spark, sf_dir):
+    return layout(spark, sf_dir).select("doc_id", F.posexplode("offsets").alias("chunk_id", "pos"))
+
+
+def chunked_header():
+    return H.pack_chunked_header(F.col("n"), F.col("n"), F.lit(12_818_277), F.lit(SIZE), F.lit(OVERLAP), F.col("offsets"), F.col("counts"))
+
+
+@query(f"""SELECT doc_id, '4C4C4D50' || '01' || {LE('n', 4)} || {LE('n', 4)} || {LE('12818277', 4)} || {LE('k', 2)} || {LE(SIZE, 2)} || {LE(OVERLAP, 2)} || '0000' || o || c AS header FROM (
+ SELECT doc_id, any_value(n) AS n, count(*) AS k, string_agg({LE('pos', 4)}, '' ORDER BY chunk_id) AS o, string_agg({LE('n_tokens', 2)}, '' ORDER BY chunk_id) AS c
+ FROM ({OFFSETS}) JOIN (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) USING (doc_id) GROUP BY doc_id)""")
+def q_chunked_header_pack(spark, sf_dir):
+    return layout(spark, sf_dir).select("doc_id", F.hex(chunked_header()).alias("header"))
+
+
+@query(f"SELECT doc_id, chunk_id, pos::BIGINT AS pos, n_tokens::BIGINT AS n_tokens, 'ok' AS status FROM ({OFFSETS})")
+def q_chunked_header_unpack(spark, sf_dir):
+    h = layout(spark, sf_dir).select("doc_id", H.unpack_chunked_header(chunked_header()).alias("h"))
+    return h.select("doc_id", "h.counts", "h.status", F.posexplode("h.offsets").alias("chunk_id", "pos")).select("doc_id", "chunk_id", "pos", F.get("counts", F.col("chunk_id")).alias("n_tokens"), "status")
+
+
+@query(f"{CDF} SELECT sym, lo, hi, total FROM cdf")
+def q_cdf(spark, sf_dir):
+    return M.static_cdf(M.byte_symbols(docs_of(spark, sf_dir)))
+
+
+@query(f"{CDF} SELECT v.range::INTEGER AS target, sym FROM range(0, 65000, 97) v JOIN cdf ON lo <= v.range AND v.range < hi")
+def q_find_symbol(spark, sf_dir):
+    model = P.train(docs_of(spark, sf_dir))
+    ends = F.array(*map(F.lit, model.cdf[1:]))
+    return spark.range(0, 65000, 97).select(F.col("id").cast("int").alias("target"), F.size(F.filter(ends, lambda e: e <= F.col("id"))).alias("sym"))
+
+
+@query(f"{CDF} SELECT doc_id, sum(lo)::BIGINT AS sum_lo, sum(hi)::BIGINT AS sum_hi FROM s JOIN cdf USING (sym) GROUP BY doc_id")
+def q_symbol_ranges(spark, sf_dir):
+    symbols = M.byte_symbols(docs_of(spark, sf_dir), "text", "doc_id")
+    cdf = M.static_cdf(symbols)
+    per = symbols.groupBy("doc_id", "sym").count()
+    return per.join(F.broadcast(cdf), "sym").groupBy("doc_id").agg(F.sum(F.col("lo") * F.col("count")).alias("sum_lo"), F.sum(F.col("hi") * F.col("count")).alias("sum_hi"))
+
+
+@query(f"{CDF} SELECT doc_id, round(sum(log2(total / (hi - lo)::DOUBLE)), 2) AS bits FROM s JOIN cdf USING (sym) GROUP BY doc_id")
+def q_code_length(spark, sf_dir):
+    symbols = M.byte_symbols(docs_of(spark, sf_dir), "text", "doc_id")
+    per = symbols.groupBy("doc_id", "sym").count().join(F.broadcast(M.static_cdf(symbols)), "sym")
+    return per.groupBy("doc_id").agg(F.round(F.sum(F.col("count") * F.log2(F.col("total") / (F.col("hi") - F.col("lo")))), 2).alias("bits"))
+
+
+@query(f"SELECT lang, round(-sum(n / al * log2(n / al)), 6) AS entropy FROM (SELECT lang, n::DOUBLE AS n, (sum(n) OVER (PARTITION BY lang))::DOUBLE AS al FROM (SELECT lang, sym, count(*) AS n FROM ({SYMS}) GROUP BY lang, sym)) GROUP BY lang")
+def q_entropy(spark, sf_dir):
+    per = M.byte_symbols(docs_of(spark, sf_dir), "text", "lang").groupBy("lang", "sym").agg(F.count("*").alias("n"))
+    p = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
+    return per.withColumn("p", p).groupBy("lang").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
+
+
+@query(f"SELECT prev::INTEGER AS prev, sym, count(*) AS n FROM (SELECT sym, lag(sym, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM ({SYMS})) GROUP BY ALL")
+def q_context(spark, sf_dir):
+    return M.contexts(M.byte_symbols(docs_of(spark, sf_dir), "text", "doc_id"), "doc_id")
+
+
+MOCK = """WITH g AS (SELECT p.range::INTEGER AS prev, s.range::INTEGER AS pos, i.range::INTEGER AS sym FROM range(8) p CROSS JOIN range(8) s CROSS JOIN range(320) i),
+ b AS (SELECT *, (-ln(sym + 1.0::DOUBLE) + sin(sym * 0.1::DOUBLE + pos * 0.5::DOUBLE))::FLOAT AS base FROM g),
+ l AS (SELECT prev, pos, sym, CASE WHEN (7 * prev + 13 * pos) % 320 = sym THEN (base::DOUBLE + 3)::FLOAT ELSE base END AS logit FROM b),
+ m AS (SELECT *, max(logit) OVER (PARTITION BY prev, pos) AS top FROM l),
+ e AS (SELECT *, exp(logit::DOUBLE - top::DOUBLE)::FLOAT AS e FROM m),
+ p AS (SELECT *, (e::DOUBLE * (1 / sum(e::DOUBLE) OVER (PARTITION BY prev, pos)))::FLOAT AS p FROM e)"""
+
+
+def mock(spark):
+    return M.mock_logits(spark, 320, list(range(8)), 8)
+
+
+@query(f"{MOCK} SELECT prev, pos, sym, round(p::DOUBLE, 5) AS p FROM p")
+def q_softmax(spark, sf_dir):
+    return M.softmax(mock(spark), "prev", "pos").select("prev", "pos", "sym", F.round(F.col("p").cast("double"), 5).alias("p"))
+
+
+@query(f"{MOCK}, x AS (SELECT *, ln(sum(exp(logit::DOUBLE - top::DOUBLE)) OVER (PARTITION BY prev, pos)) AS z FROM m) SELECT prev, pos, sym, round((logit::DOUBLE - (top::DOUBLE + z))::FLOAT::DOUBLE, 4) AS logp FROM x")
+def q_log_softmax(spark, sf_dir):
+    return M.log_softmax(mock(spark), "prev", "pos").select("prev", "pos", "sym", F.round(F.col("logp").cast("double"), 4).alias("logp"))
+
+
+@query(f"{MOCK}, q AS (SELECT *, greatest(1, floor(p::DOUBLE * 65536))::BIGINT AS n FROM p) SELECT prev, pos, sym, (sum(n) OVER w - n)::BIGINT AS lo, (sum(n) OVER w)::BIGINT AS hi, (sum(n) OVER (PARTITION BY prev, pos))::BIGINT AS total FROM q WINDOW w AS (PARTITION BY prev, pos ORDER BY sym)")
+def q_mock_cdf(spark, sf_dir):
+    return M.cumulative(M.softmax(mock(spark), "prev", "pos"), "prev", "pos")
+
+
+@query(f"WITH q AS (SELECT range::INTEGER AS sym, greatest(1, floor((1.0::DOUBLE / (range + 1) / {sum(1.0 / (i + 1) for i in range(M.VOCABULARY))!r}::DOUBLE)::FLOAT::DOUBLE * 65536))::BIGINT AS n FROM range({M.VOCABULARY})) SELECT sym, (sum(n) OVER (ORDER BY sym) - n)::BIGINT AS lo, (sum(n) OVER (ORDER BY sym))::BIGINT AS hi, (sum(n) OVER ())::BIGINT AS total FROM q")
+def q_zipf_cdf(spark, sf_dir):
+    return M.cumulative(M.zipf(spark))
+
+
+BITS = "lpad(bin(doc_id & 1023), 10, '0') || lpad(bin(n_chars & 8191), 13, '0')"
+
+
+@query(f"SELECT doc_id, printf('%06X', ((doc_id & 1023) * 8192 + (n_chars & 8191)) * 2) AS packed FROM documents")
+def q_bits_pack(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", B.pack_bits(F.concat(B.bits_of(F.col("doc_id"), 10), B.bits_of(F.col("n_chars"), 13))).alias("packed"))
+
+
+@query("SELECT doc_id, 23 AS n_bits, 3 AS n_bytes FROM documents")
+def q_bit_count(spark, sf_dir):
+    bits = F.concat(B.bits_of(F.col("doc_id"), 10), B.bits_of(F.col("n_chars"), 13))
+    return docs_of(spark, sf_dir).select("doc_id", F.length(bits).alias("n_bits"), F.length(F.unhex(B.pack_bits(bits))).alias("n_bytes"))
+
+
+@query("SELECT doc_id, doc_id & 1023 AS a, n_chars & 8191 AS b FROM documents")
+def q_bits_unpack(spark, sf_dir):
+    made = B.pack_bits(F.concat(B.bits_of(F.col("doc_id"), 10), B.bits_of(F.col("n_chars"), 13)))
+    bits = F.lpad(F.conv(made, 16, 2), 24, "0")
+    number = lambda a, n: F.conv(F.substring(bits, a, n), 2, 10).cast("long")
+    return docs_of(spark, sf_dir).select("doc_id", number(1, 10).alias("a"), number(11, 13).alias("b"))
+
+
+@query()
+def q_compress(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return P.statistics(P.compress(docs, P.train(docs))).withColumn("data", F.md5("data"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, true AS ok FROM documents")
+def q_roundtrip(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    model = P.train(docs)
+    return P.decompress(P.compress(docs, model), model).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "ok")
+
+
+@query()
+def q_compress_chunked(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return P.statistics(P.compress_chunked(docs, P.train(docs), SIZE, OVERLAP)).withColumn("data", F.md5("data"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def q_roundtrip_chunked(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    model = P.train(docs)
+    return P.decompress_chunked(P.compress_chunked(docs, model, SIZE, OVERLAP), model).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(CHUNKS.format(s=SIZE, o=OVERLAP).replace("output_start, (least", "output_start_, (least").join(["SELECT doc_id, chunk_id, n_tokens, least(16, output_start_)::INTEGER AS skip FROM (", ")"]))
+def q_chunk_payloads(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    rows = P.chunk_payloads(P.compress_chunked(docs, P.train(docs), SIZE, OVERLAP))
+    return rows.select("doc_id", "chunk_id", F.col("n_tokens").cast("int").alias("n_tokens"), F.col("skip").cast("int").alias("skip"))
+
+
+@query()
+def q_ac_encode(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return P.coded_chunks(docs, P.train(docs), SIZE, OVERLAP).select("doc_id", "chunk_id", F.hex("payload").alias("payload"))
+
+
+@query()
+def q_stats(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return P.statistics(P.compress(docs, P.train(docs))).drop("data")
+
+
+@query()
+def q_stats_by_lang(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    per = P.statistics(P.compress(docs, P.train(docs))).select("doc_id", "original_size", "compressed_size").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    return per.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("original_size").alias("original_size"), F.sum("compressed_size").alias("compressed_size"), (8 * F.sum("compressed_size") / F.sum("original_size")).alias("bits_per_byte"))
+
+
+@query()
+def q_ratio_loss(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    model = P.train(docs)
+    whole = P.statistics(P.compress(docs, model)).select("doc_id", F.col("ratio").alias("whole"))
+    parts = P.statistics(P.compress_chunked(docs, model, SIZE, OVERLAP)).select("doc_id", F.col("ratio").alias("chunked"))
+    return whole.join(parts, "doc_id").withColumn("loss", (F.col("whole") - F.col("chunked")) / F.col("whole") * 100)
+
+
+@query()
+def q_gzip_compare(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return P.gzip_sizes(docs).join(P.statistics(P.compress(docs, P.train(docs))).select("doc_id", "original_size", "compressed_size"), "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 10 THEN 10::BIGINT END AS pos FROM documents WHERE length(text) = 0 OR length(text) > 10")
+def q_first_diff(spark, sf_dir):
+    docs = docs_of(spark, sf_dir).filter("length(text) = 0 or length(text) > 10")
+    return docs.select("doc_id", P.first_difference(F.col("text"), F.concat(F.substring("text", 1, 10), F.lit("\x07"), F.expr("substring(text, 12)"))).alias("pos"))
