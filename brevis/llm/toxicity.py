@@ -32,6 +32,8 @@ LEXICON, LEAST_DOCS, LEAST_RATE = 400, 3, 0.6
 #: Least log-likelihood ratio statistic of an entry: high enough that chance gives no entry among millions of words.
 EVIDENCE = 32.0
 
+#: Letters of a word's beginning that stand for its stem, written with an asterisk.
+STEMS = (4, 5)
 WORDS = re.compile(r"[^\W\d_]+")
 APART = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){3,}(?!\w)")
 LEET = re.compile(r"[a-z0-9@$!|+€£(*#]*(?:[a-z][0-9@$!|+€£(*#]+[a-z]|[a-z][@$!|+€£0-9]|[0-9@$!|+€£][a-z])[a-z0-9@$!|+€£(*#]*")
@@ -111,16 +113,18 @@ class Reader:
         return got
 
     def __call__(self, text: str | None, lexicon: dict[str, float] | None = None) -> set[str]:
-        """Words of a text and the restored ones among its suspicious strings; with a lexicon, only words that it holds."""
+        """Words of a text, the restored ones among its suspicious strings, and the stems of both; with a lexicon, only what it holds."""
         low = (text or "").lower()
-        found = set(WORDS.findall(low))
+        plain = set(WORDS.findall(low))
+        found = plain | {f"{w[:k]}*" for w in plain for k in STEMS if len(w) > k}
         if lexicon is not None:
             found.intersection_update(lexicon)
         for pattern in (APART, LEET, REPEAT, JOINED):
             for m in pattern.finditer(low):
                 for s in self.readings(m[0].strip("!.,?*#|")):
-                    if lexicon is None or s in lexicon:
-                        found.add(s)
+                    for w in (s, *(f"{s[:k]}*" for k in STEMS if len(s) > k)):
+                        if lexicon is None or w in lexicon:
+                            found.add(w)
         return found
 
 
