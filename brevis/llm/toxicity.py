@@ -28,9 +28,9 @@ SIZE = END + 1
 #: Labelled documents from which the lexicon is learned, at most; those with the least hashed ids.
 TRAIN_ROWS = 40_000
 #: Entries of the lexicon, at most, and the least documents of an entry.
-LEXICON, LEAST_DOCS, LEAST_RATE = 400, 3, 0.6
-#: Least log-likelihood ratio statistic of an entry: high enough that chance gives no entry among millions of words.
-EVIDENCE = 32.0
+LEXICON, LEAST_DOCS, LEAST_RATE = 2_000, 3, 0.6
+#: Least log-likelihood ratio statistic of an entry: about four documents that are all toxic, where a tenth of all are.
+EVIDENCE = 18.0
 
 #: Letters of a word's beginning that stand for its stem, written with an asterisk.
 STEMS = (4, 5)
