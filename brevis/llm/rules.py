@@ -14,10 +14,10 @@ from .common import SPACE, let, once, words
 
 # Frequent function words of each language; "" stands for any other language.
 COMMON = {
-    "en": "the of and to in that is for with on are as this a at be by from or was".split(),
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par sur au pas plus".split(),
+    "en": "the of and to in that is for with on are as".split(),
+    "de": "der die das und in den von zu mit des für eine".split(),
+    "es": "de la que el en y los se las por para es".split(),
+    "fr": "de la le et les des en un une que est pour".split(),
 }
 SYMBOLS = "#*$%&|<>"
 MARKS = r".,;:!?'\x22()\-"
@@ -73,9 +73,11 @@ def histograms(text: Column, lang: Column) -> Column:
 
     def common(flat: Column) -> Column:
         def of(known: list[str]) -> Column:
-            each = [F.expr("0L") + (F.length(flat) - F.length(F.replace(flat, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in known]
-            each = [x.cast("long") for x in each]
-            return F.array(*each, (F.length(flat) - F.length(F.replace(flat, F.lit("  "), F.lit(" ")))).cast("long") + 1 - sum(each[1:], each[0]))
+            # bytes are counted, not characters: their number is known without a pass over the text
+            size = F.octet_length(flat)
+            each = F.array(*(((size - F.octet_length(F.replace(flat, F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in known))
+            spaces = (size - F.octet_length(F.replace(flat, F.lit("  "), F.lit(" ")))).cast("long") + 1
+            return let(each, lambda n: F.concat(n, F.array(spaces - F.aggregate(n, F.lit(0).cast("long"), lambda t, v: t + v))))
 
         out = F.array().cast("array<long>")
         for name, known in COMMON.items():
