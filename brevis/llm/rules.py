@@ -67,9 +67,15 @@ def bucket(lang: Column) -> Column:
 
 def histograms(text: Column, lang: Column) -> Column:
     """Counts by character class (small letters and the rest, capitals, digits, white space, marks, symbols), and of common words and all others."""
-    total = F.length(text)
-    kinds = [F.length(F.regexp_replace(text, f"[^{x}]+", "")) for x in (r"\p{Lu}", r"\p{N}", SPACE, MARKS, SYMBOLS + r"@\^_~=+/\\\\{}\[\]")]
-    classes = F.array(*(x.cast("long") for x in (total - sum(kinds[1:], kinds[0]), *kinds)))
+    count = lambda t, kept: F.length(F.regexp_replace(t, f"[^{kept}]+", "")).cast("long")
+
+    def by_class(rest: Column) -> Column:
+        # what is neither letter nor white space is short, so its classes cost little
+        few = [count(rest, x) for x in (r"\p{N}", MARKS, SYMBOLS + r"@\^_~=+/\\\\{}\[\]")]
+        known = F.array(count(text, r"\p{Lu}"), few[0], count(text, SPACE), *few[1:])
+        return let(known, lambda k: F.concat(F.array(F.length(text).cast("long") - F.aggregate(k, F.lit(0).cast("long"), lambda t, v: t + v)), k))
+
+    classes = let(F.regexp_replace(text, rf"[\p{{L}}{SPACE}]+", ""), by_class)
 
     def common(flat: Column) -> Column:
         def of(known: list[str]) -> Column:
