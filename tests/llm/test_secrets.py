@@ -37,7 +37,7 @@ def check(df):
 
 
 def test_matches_brute_force(spark):
-    found = check(spark.read.parquet(f"{SF}/documents.parquet"))
+    found = check(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"))
     assert any(x[1] or x[2] or x[3] for x in found)
 
 
