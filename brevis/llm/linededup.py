@@ -45,23 +45,30 @@ def around(h: Column, p: Column, reach: int) -> Column:
     return F.array(*(F.when(p + k >= 0, F.get(h, p + k)) for k in range(-reach, reach + 1)))
 
 
+def lined(rows: DataFrame) -> DataFrame:
+    """k_id, k_text and h, the hashes of all lines, once for each document with a word. Texts are cut into lines here alone."""
+    some = rows.filter(F.btrim("text", F.lit(SPACE_CHARS)) != "")
+    hashed = once(some, "h", hashes(F.col("text"))).select("k_id", "k_text", "h")
+    return hashed.groupBy("k_id", "k_text").agg(F.first("h").alias("h"))
+
+
 def removed_spans(rows: DataFrame, window: int, reach: int) -> DataFrame:
     """k_id, k_text and spans: for each document with repeated lines, (first position, last position) of each extended match.
 
-    rows: k_id (a long, null as the least), k_text (a hash of the text) and text.
+    rows: k_id (a long, null as the least), k_text (a hash of the text) and text. Only hashes of lines are shuffled. The
+    lists of repeated fingerprints are dealt anew before they are joined, so that a fingerprint that a third of all rows
+    hold lies in a shuffle that adaptive execution may split.
     """
-    found = rows.select("k_id", "k_text", F.explode(let(hashes(F.col("text")), lambda h: F.transform(selected(h, window), lambda p: F.struct(F.get(h, p).alias("h"), p.alias("p"))))).alias("f"))
-    found = found.select("k_id", "k_text", "f.h", "f.p")
-    often = found.groupBy("h").count().filter("count > 1").select("h")
+    docs = cut(lined(rows))
+    found = once(docs, "at", selected(F.col("h"), window)).select("k_id", "k_text", F.explode(F.transform("at", lambda p: F.struct(F.get("h", p).alias("h"), p.alias("p")))).alias("f")).select("k_id", "k_text", "f.*")
+    often = found.groupBy("h").count().filter("count > 1").select("h").repartition("h")
     again = cut(found.join(often, "h"))
-    first = again.groupBy("h").agg(F.min(F.struct("k_id", "k_text", "p")).alias("first"))
-    later = again.join(first, "h").filter(F.struct("k_id", "k_text", "p") > F.col("first"))
-    later = later.select("k_id", "k_text", "p", F.col("first.k_id").alias("o_id"), F.col("first.k_text").alias("o_text"), F.col("first.p").alias("o_p"))
-    origins = later.select("o_id", "o_text", "o_p").distinct().groupBy("o_id", "o_text").agg(F.collect_set("o_p").alias("at"))
-    texts = rows.select(F.col("k_id").alias("o_id"), F.col("k_text").alias("o_text"), "text").dropDuplicates(["o_id", "o_text"])
-    near = texts.join(origins, ["o_id", "o_text"]).select("o_id", "o_text", F.explode(let(hashes(F.col("text")), lambda h: F.transform("at", lambda p: F.struct(p.alias("o_p"), around(h, p, reach).alias("near"))))).alias("o"))
-    matched = later.join(near.select("o_id", "o_text", "o.o_p", "o.near"), ["o_id", "o_text", "o_p"])
-    return matched.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("p", "near")).alias("matches"))
+    first = again.groupBy("h").agg(F.min(F.struct("k_id", "k_text", "p")).alias("o")).select("h", F.col("o.k_id").alias("k_id"), F.col("o.k_text").alias("k_text"), "o.p")
+    origins = first.groupBy("k_id", "k_text").agg(F.collect_list(F.struct(F.col("h").alias("x"), "p")).alias("at"))
+    near = docs.join(origins, ["k_id", "k_text"]).select(F.struct("k_id", "k_text").alias("o"), F.explode(F.transform("at", lambda a: F.struct(a["x"].alias("h"), a["p"].alias("o_p"), around(F.col("h"), a["p"], reach).alias("near")))).alias("n")).select("o", "n.*")
+    later = again.join(near, "h").filter(F.struct("k_id", "k_text", "p") > F.struct(F.col("o.k_id").alias("k_id"), F.col("o.k_text").alias("k_text"), F.col("o_p").alias("p")))
+    matches = later.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("p", "near")).alias("matches"))
+    return docs.join(matches, ["k_id", "k_text"]).select("k_id", "k_text", F.array_distinct(F.transform("matches", lambda m: extend(F.col("h"), m, reach))).alias("spans"))
 
 
 def extend(h: Column, match: Column, reach: int) -> Column:
@@ -78,20 +85,25 @@ def extend(h: Column, match: Column, reach: int) -> Column:
     return F.struct((match["p"] - steps(-1)).alias("a"), (match["p"] + steps(1)).alias("z"))
 
 
-def rid(text: Column, matches: Column, reach: int, least_words: int) -> Column:
-    """The text without its repeated runs, and the number of lines that went."""
+def n_words(line: Column) -> Column:
+    """Words of a line, by its blanks."""
+    return let(F.btrim(line, F.lit(SPACE_CHARS)), lambda t: 1 + F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))))
+
+
+def rid(text: Column, spans: Column, least_words: int) -> Column:
+    """The text without those spans of lines that have `least_words` words, and the number of lines that went."""
 
     def drop(units: Column) -> Column:
-        def kept(h: Column) -> Column:
-            words_in = lambda s: F.aggregate(F.slice(units, s["a"] + 1, s["z"] - s["a"] + 1), F.lit(0), lambda n, x: n + 1 + F.length(t := F.btrim(x, F.lit(SPACE_CHARS))) - F.length(F.replace(t, F.lit(" "), F.lit(""))))
-            spans = F.filter(F.array_distinct(F.transform(matches, lambda m: extend(h, m, reach))), lambda s: words_in(s) >= least_words)
-            flags = let(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["z"])))), lambda gone: F.struct(F.array_join(F.filter(units, lambda _, i: ~F.array_contains(gone, i)), "").alias("text"), F.size(gone).alias("n_removed")))
-            return flags
+        def kept(n: Column) -> Column:
+            enough = F.filter(spans, lambda s: F.aggregate(F.slice(n, s["a"] + 1, s["z"] - s["a"] + 1), F.lit(0), lambda t, x: t + x) >= least_words)
+            gone = F.array_distinct(F.flatten(F.transform(enough, lambda s: F.sequence(s["a"], s["z"]))))
+            left = lambda g: F.array_except(F.sequence(F.lit(0), F.size(units) - 1), g)
+            return let(gone, lambda g: F.struct(F.array_join(F.transform(left(g), lambda i: F.get(units, i)), "").alias("text"), F.size(g).alias("n_removed")))
 
-        return let(F.transform(units, lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE_CHARS)))), kept)
+        return let(F.transform(units, n_words), kept)
 
     whole = F.struct(text.alias("text"), F.lit(0).alias("n_removed"))
-    return F.when(matches.isNull(), whole).otherwise(let(lines(text), drop))
+    return F.when(spans.isNull(), whole).otherwise(let(lines(text), drop))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, reach: int = REACH, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -105,9 +117,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, reach: int = REACH, l
         raise ValueError("reach must be at least the window, or runs have gaps between their fingerprints")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k_id"), F.xxhash64("text").alias("k_text")]
     rows = docs.select(F.struct("*").alias("doc"), *key, F.col("text").cast("string").alias("text"))
-    spans = removed_spans(rows.select("k_id", "k_text", "text").filter(F.btrim("text", F.lit(SPACE_CHARS)) != ""), window, reach)
+    spans = removed_spans(rows.select("k_id", "k_text", "text"), window, reach)
     both = rows.join(spans, ["k_id", "k_text"], "left")
-    return once(both, "clean", rid(F.col("text"), F.col("matches"), reach, least_words)).select("doc", "clean")
+    return once(both, "clean", rid(F.col("text"), F.col("spans"), least_words)).select("doc", "clean")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
