@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, SPACE_CHARS, cut, let, once
 
 WINDOW, REACH, LEAST_WORDS = 3, 3, 8
-#: Between lines: before a word, after white space that holds a line end or follows a sentence's end.
-BREAK = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<=[.!?\n][{SPACE}]{{1,8}}|\n)"
+#: Between lines: before a word, after white space that holds a line end or follows a sentence's end. The third part only
+#: rules out quickly what the fourth would reject: a single blank after a letter.
+BREAK = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<![^.!?{SPACE}][\x20\x09\x0B-\x0D])(?<=[.!?\n][{SPACE}]{{1,8}}|\n)"
 
 
 def lines(text: Column) -> Column:
@@ -55,14 +56,14 @@ def lined(rows: DataFrame) -> DataFrame:
 def removed_spans(rows: DataFrame, window: int, reach: int) -> DataFrame:
     """k_id, k_text and spans: for each document with repeated lines, (first position, last position) of each extended match.
 
-    rows: k_id (a long, null as the least), k_text (a hash of the text) and text. Only hashes of lines are shuffled. The
-    lists of repeated fingerprints are dealt anew before they are joined, so that a fingerprint that a third of all rows
-    hold lies in a shuffle that adaptive execution may split.
+    rows: k_id (a long, null as the least), k_text (a hash of the text) and text. Only hashes of lines are shuffled.
+    Repeated fingerprints are joined by a second hash as well, so both sides are dealt for the join itself and adaptive
+    execution may split the partition of a fingerprint that a third of all rows hold.
     """
     docs = cut(lined(rows))
     found = once(docs, "at", selected(F.col("h"), window)).select("k_id", "k_text", F.explode(F.transform("at", lambda p: F.struct(F.get("h", p).alias("h"), p.alias("p")))).alias("f")).select("k_id", "k_text", "f.*")
-    often = found.groupBy("h").count().filter("count > 1").select("h").repartition("h")
-    again = cut(found.join(often, "h"))
+    often = found.groupBy("h").count().filter("count > 1").select("h", F.hash("h").alias("g"))
+    again = cut(found.withColumn("g", F.hash("h")).join(often, ["h", "g"]).drop("g"))
     first = again.groupBy("h").agg(F.min(F.struct("k_id", "k_text", "p")).alias("o")).select("h", F.col("o.k_id").alias("k_id"), F.col("o.k_text").alias("k_text"), "o.p")
     origins = first.groupBy("k_id", "k_text").agg(F.collect_list(F.struct(F.col("h").alias("x"), "p")).alias("at"))
     near = docs.join(origins, ["k_id", "k_text"]).select(F.struct("k_id", "k_text").alias("o"), F.explode(F.transform("at", lambda a: F.struct(a["x"].alias("h"), a["p"].alias("o_p"), around(F.col("h"), a["p"], reach).alias("near")))).alias("n")).select("o", "n.*")
