@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # The letters that a sign may stand for. A sign that isn't listed separates.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq",
@@ -103,6 +105,7 @@ class Reader:
 
     def __init__(self, costs: np.ndarray, keep: int = 50_000, longest: int = 80):
         self.costs, self.keep, self.longest, self.known = costs, keep, longest, {}
+        self.lexicon, self.dull = None, set()  # plain words without an entry in that lexicon, bounded as well
 
     def readings(self, noisy: str) -> list[str]:
         if (got := self.known.get(noisy)) is None:
@@ -112,13 +115,27 @@ class Reader:
             got = self.known[noisy] = [s for p in parts for s in decode(p, self.costs)]
         return got
 
+    def entries(self, plain: set[str], lexicon: dict[str, float]) -> set[str]:
+        """The entries of a lexicon among plain words and their stems."""
+        if lexicon is not self.lexicon or len(self.dull) > 4 * self.keep:
+            self.lexicon, self.dull = lexicon, set()
+        out: set[str] = set()
+        for w in plain - self.dull:
+            hits = [x for x in (w, *(f"{w[:k]}*" for k in STEMS if len(w) > k)) if x in lexicon]
+            if hits:
+                out.update(hits)
+            else:
+                self.dull.add(w)
+        return out
+
     def __call__(self, text: str | None, lexicon: dict[str, float] | None = None) -> set[str]:
         """Words of a text, the restored ones among its suspicious strings, and the stems of both; with a lexicon, only what it holds."""
         low = (text or "").lower()
         plain = set(WORDS.findall(low))
-        found = plain | {f"{w[:k]}*" for w in plain for k in STEMS if len(w) > k}
-        if lexicon is not None:
-            found.intersection_update(lexicon)
+        if lexicon is None:
+            found = plain | {f"{w[:k]}*" for w in plain for k in STEMS if len(w) > k}
+        else:
+            found = self.entries(plain, lexicon)
         for pattern in (APART, LEET, REPEAT, JOINED):
             for m in pattern.finditer(low):
                 for s in self.readings(m[0].strip("!.,?*#|")):
@@ -149,6 +166,7 @@ def learn(rows: DataFrame, costs: np.ndarray) -> tuple[dict[str, float], float]:
 
     plain = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").cast("long").alias("toxic")).select("text", "toxic")
     sums = plain.mapInArrow(count, "w string, toxic long, n long").groupBy("w").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n"))
+    sums = cut(sums.filter((F.col("w") == "") | (F.col("t") >= LEAST_DOCS)))
     total = sums.filter("w = ''").first()
     if total is None or not total.t or total.t == total.n:
         return {}, -2.0 if total is None or not total.t else 2.0
