@@ -6,6 +6,10 @@ point is at most its radius, else right. A point on the right whose ball of the
 queried on the left as well (by the triangle inequality no other pair crosses it), so each pair within the radius meets in
 a shard. Each shard builds its own tree down to small buckets and searches it with the same bounds. A shard returns links
 that span the components it sees, not all pairs; rounds of star contraction join the components of all shards.
+
+Few bits stand for similarities near 1 only: at a similarity of 0.8 two fingerprints differ in ten of 64 bits, where no
+ball prunes a tree. `keep_one` therefore joins the tree's links with those of texts whose shingle sets have a similarity of
+SIMILARITY or more, found by bands of minima and checked exactly.
 """
 
 from __future__ import annotations
@@ -17,45 +21,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_dir
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BUCKET = 192
 SAMPLE = 16_384
 SHARD = 16_384
 SHARDS = 4_096
+#: Two texts of similarity 0.8 share one of BANDS bands of ROWS minima with a chance of 0.998.
+SIMILARITY, BANDS, ROWS = 0.8, 16, 5
+#: Comparisons with one text that a task gets at a time.
+HEAP = 256
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """The fingerprint of one text, unsigned: A-Z in lower case, word shingles with repeats (fewer words: all of them; none: 0)."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included: A-Z in lower case; fewer words: all of them; none: no hash."""
     import xxhash
 
+    digest = xxhash.xxh64_intdigest
     found = WORD.findall((text or "").encode().lower())
-    if not found:
-        return 0
+    whole = b" ".join(found)
     if len(found) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(found), seed)
-    whole, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found])
+        return np.array([digest(whole, seed)] if found else [], "<u8")
+    ends = np.cumsum([len(w) + 1 for w in found])
     starts = [0, *ends[: len(found) - shingle].tolist()]
     stops = (ends[shingle - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(whole[a:b], seed) for a, b in zip(starts, stops, strict=True)), "<u8", len(stops))
+    return np.fromiter((digest(whole[a:b], seed) for a, b in zip(starts, stops, strict=True)), "<u8", len(stops))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: bits that are set in over half the hashes; none: 0."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, k_text (a hash of the text) and fp (the fingerprint as a signed long) of every whole text; null texts have no words."""
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int] | None:
+    """A signed key for each band: a hash of the least of the shingles' hashes under `rows` mixings; no shingle: None."""
+    import xxhash
+
+    if not len(hashes):
+        return None
+    mix = np.random.default_rng(7).integers(0, 1 << 64, (2, bands * rows), np.uint64)
+    mask, odd = mix[0], mix[1] | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 512):
+        np.minimum(least, ((hashes[k : k + 512, None] ^ mask) * odd).min(0), out=least)
+    return [xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) - (1 << 63) for i in range(bands)]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", bands: int = 0) -> DataFrame:
+    """doc_id, k_text (a hash of the text), fp (the fingerprint as a signed long) and bands (null, or keys of `bands` bands) of every whole text.
+
+    Null texts have no words.
+    """
+    rows = ROWS
 
     def run(batches):
         for b in batches:
-            got = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], "<u8")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got.view("<i8"), pa.int64())], ["doc_id", "k_text", "fp"])
+            fps, keys = [], []
+            for t in b.column(2).to_pylist():
+                hashes = shingle_hashes(t, shingle)
+                fps.append(majority(hashes))
+                keys.append(band_keys(hashes, bands, rows) if bands else None)
+            got = np.array(fps, "<u8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got.view("<i8"), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "k_text", "fp", "bands"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("k_text"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k_text long, fp long")
+    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("k_text"), F.col(text).cast("string").alias("text"))
+    return cols.mapInArrow(run, "doc_id long, k_text long, fp long, bands array<long>")
 
 
 def distance(points: np.ndarray, vantage: int) -> np.ndarray:
@@ -205,7 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, doc_id: s
     Null and empty texts have fingerprint 0 and are linked like others. Rows with equal doc_id each keep a row. A null
     doc_id takes part, but names a component only if no other row does.
     """
-    rows = cut(fingerprints(docs, shingle, doc_id, text))
+    rows = cut(fingerprints(docs, shingle, doc_id, text).drop("bands"))
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = contract(links(points, reach))
     grouped = points.join(found, points.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -214,15 +248,71 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, doc_id: s
     return rows.join(named, "fp").select("doc_id", "k_text", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, reach: int = 3) -> DataFrame:
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b, n) of nodes whose texts' shingle sets have a Jaccard similarity of `least` or more, as (a, b).
+
+    n, the comparisons that `a` takes part in, is used to deal them: a text with many goes to many tasks, each with its copy.
+    """
+
+    def run(batches):
+        last, kept = None, None
+        for batch in batches:
+            same = []
+            for a, one, two in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if a != last:
+                    last, kept = a, np.unique(shingle_hashes(one, shingle))
+                other = np.unique(shingle_hashes(two, shingle))
+                common = len(np.intersect1d(kept, other, assume_unique=True))
+                same.append(common >= least * (len(kept) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    dealt = pairs.withColumn("part", F.pmod(F.hash("b"), F.ceil(F.col("n") / HEAP).cast("int"))).drop("n")
+    ones = dealt.select("a", "part").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
+    both = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b").join(ones, ["a", "part"])
+    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
+def similar(points: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) of points whose texts are similar and share a band, as many as connect all such points.
+
+    points: fp, and first with doc_id, k_text and bands of a row. In each bucket of equal bands the least point is compared
+    with all others, not each with each. Where some of them differ from it, the least of these is the next one to be
+    compared with all that haven't been, until none is left: so each pair of a bucket is compared or linked already.
+    """
+    spark = points.sparkSession
+    keyed = points.select("fp", F.posexplode("first.bands").alias("band", "v")).select("fp", F.xxhash64("band", "v").alias("key"))
+    often = keyed.groupBy("key").count().filter("count > 1").select("key", F.hash("key").alias("g"))
+    members = cut(keyed.withColumn("g", F.hash("key")).join(often, ["key", "g"]).select("key", "fp", F.lit(False).alias("linked")))
+    wanted = points.join(members.select("fp").distinct(), "fp", "left_semi").select(F.col("fp").alias("node"), F.col("first.doc_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
+    path = fresh_dir(spark, "texts")
+    rows.join(wanted, rows.k_id.eqNullSafe(wanted.f_id) & (rows.k_text == wanted.f_text)).select("node", "text").dropDuplicates(["node"]).write.parquet(path)
+    texts = spark.read.parquet(path)
+    found = None
+    while True:
+        centers = members.filter("not linked").groupBy("key").agg(F.min("fp").alias("a"))
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+        centers = centers.join(sizes, "key").filter("n > 1").withColumn("g", F.hash("key"))
+        pairs = cut(members.withColumn("g", F.hash("key")).join(centers, ["key", "g"]).filter("fp != a").select("key", "a", F.col("fp").alias("b"), "linked", "n"))
+        if pairs.isEmpty():
+            return found if found is not None else spark.createDataFrame([], "a long, b long")
+        same = cut(alike(pairs.groupBy("a", "b").agg(F.max("n").alias("n")), texts, shingle, least))
+        found = same if found is None else found.union(same)
+        members = cut(pairs.join(same.withColumn("same", F.lit(True)), ["a", "b"], "left").select("key", F.col("b").alias("fp"), (F.col("linked") | F.col("same").isNotNull()).alias("linked")))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, reach: int = 3, least: float = SIMILARITY) -> DataFrame:
     """The row with the least doc_id of each component, in its own columns; of rows that share doc_id and text, one.
 
-    Fingerprints of five-word shingles within three bits stand for texts whose shingle similarity is far above 0.8. Rows
-    without doc_id are kept only if no row of their component has one.
+    Links are fingerprints of five-word shingles within three bits, by the tree, and texts whose sets of such shingles have a
+    Jaccard similarity of `least` or more. Texts without a word are one component. Rows without doc_id are kept only if no
+    row of their component has one.
     """
-    found = near_duplicates(docs, shingle, reach)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_text")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
+    rows = cut(fingerprints(docs, shingle, bands=BANDS))
+    points = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_text", "bands")).alias("first")))
+    found = contract(links(points.select("fp"), reach).union(similar(points, docs, shingle, least)))
+    grouped = points.join(found, points.fp == found.node, "left").select(F.coalesce("root", "fp").alias("root"), F.struct("first.none", "first.doc_id", "first.k_text").alias("first"))
+    first = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"))
     kept = rows.join(first, rows.k_id.eqNullSafe(first.f_id) & (rows.k_text == first.f_text), "left_semi")
     return kept.dropDuplicates(["k_id", "k_text"]).select("doc.*")

@@ -97,3 +97,45 @@ def test_guests_of_a_shard_are_searched(spark):
         a, b = S.spanning(points[ix], home[leaf == k], 2)
         linked |= {frozenset((ix[i], ix[j])) for i, j in zip(a, b)}
     assert len({x for pair in linked for x in pair}) >= 1400
+
+
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_similar_texts_leave_one(spark, monkeypatch):
+    """Groups of texts that differ in whole words, far beyond three bits: what stays is what all pairs at 0.8 leave, also where unlike texts share buckets."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 200))]
+        texts.append(base)
+        for _ in range(rng.randrange(6)):
+            near = list(rng.choice(texts[-3:]))
+            for _ in range(rng.randrange(1, 5)):
+                near[rng.randrange(len(near))] = f"n{rng.randrange(5000)}"
+            texts.append(near)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (brute_fp(rows[i][1], 5) ^ brute_fp(rows[j][1], 5)).bit_count() <= 3:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = {find(i) for i in range(len(rows))}
+    assert 25 <= len(wanted) < len(rows)
+    assert {r.doc_id for r in S.keep_one(docs).collect()} == wanted
+    monkeypatch.setattr(S, "HEAP", 2)
+    monkeypatch.setattr(S, "ROWS", 1)
+    monkeypatch.setattr(S, "band_keys", lambda h, bands, rows: [len(h) // 50, 7][: max(1, bands)] if len(h) else None)
+    few = docs.filter("doc_id < 7")  # all of them in one bucket
+    assert {r.doc_id for r in S.keep_one(few).collect()} == {min(i for i in range(7) if find(i) == r) for r in {find(i) for i in range(7)}}
