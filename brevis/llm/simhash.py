@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_dir
@@ -272,33 +272,45 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def similar(points: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) of points whose texts are similar and share a band, as many as connect all such points.
+def components(points: DataFrame, docs: DataFrame, near: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(node, root) of points that are linked: by `near` (a, b), or as their texts share a band and are similar.
 
     points: fp, and first with doc_id, k_text and bands of a row. In each bucket of equal bands the least point is compared
-    with all others, not each with each. Where some of them differ from it, the least of these is the next one to be
-    compared with all that haven't been, until none is left: so each pair of a bucket is compared or linked already.
+    with all others, not each with each. What is connected by then needs no further comparison. In a bucket that still holds
+    several components, points outside its largest one are compared with those of other components: one of each component,
+    then four, sixteen, until all had their turn. So each pair of a bucket is compared or connected.
     """
     spark = points.sparkSession
-    keyed = points.select("fp", F.posexplode("first.bands").alias("band", "v")).select("fp", F.xxhash64("band", "v").alias("key"))
-    often = keyed.groupBy("key").count().filter("count > 1").select("key", F.hash("key").alias("g"))
-    members = cut(keyed.withColumn("g", F.hash("key")).join(often, ["key", "g"]).select("key", "fp", F.lit(False).alias("linked")))
+    keyed = points.select("fp", F.posexplode("first.bands").alias("band", "v")).select("fp", F.xxhash64("band", "v").alias("key")).withColumn("g", F.hash("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a")).filter("n > 1").withColumn("g", F.hash("key"))
+    members = cut(keyed.join(often, ["key", "g"]).select("key", "g", "fp", "a", "n"))
     wanted = points.join(members.select("fp").distinct(), "fp", "left_semi").select(F.col("fp").alias("node"), F.col("first.doc_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
     path = fresh_dir(spark, "texts")
     rows.join(wanted, rows.k_id.eqNullSafe(wanted.f_id) & (rows.k_text == wanted.f_text)).select("node", "text").dropDuplicates(["node"]).write.parquet(path)
     texts = spark.read.parquet(path)
-    found = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        each = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n"))
+        return alike(each, texts, shingle, least)
+
+    found = cut(near.union(linked(members.filter("fp != a").select("a", F.col("fp").alias("b"), "n"))))
+    members, share = members.select("key", "g", "fp", (F.col("fp") == F.col("a")).alias("tried")), 1
     while True:
-        centers = members.filter("not linked").groupBy("key").agg(F.min("fp").alias("a"))
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        centers = centers.join(sizes, "key").filter("n > 1").withColumn("g", F.hash("key"))
-        pairs = cut(members.withColumn("g", F.hash("key")).join(centers, ["key", "g"]).filter("fp != a").select("key", "a", F.col("fp").alias("b"), "linked", "n"))
-        if pairs.isEmpty():
-            return found if found is not None else spark.createDataFrame([], "a long, b long")
-        same = cut(alike(pairs.groupBy("a", "b").agg(F.max("n").alias("n")), texts, shingle, least))
-        found = same if found is None else found.union(same)
-        members = cut(pairs.join(same.withColumn("same", F.lit(True)), ["a", "b"], "left").select("key", F.col("b").alias("fp"), (F.col("linked") | F.col("same").isNotNull()).alias("linked")))
+        roots = contract(found)
+        now = cut(members.join(roots, members.fp == roots.node, "left").select("key", "g", "fp", "tried", F.coalesce("root", "fp").alias("root")))
+        held = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"))
+        still = held.filter("k > 1").select("key", F.hash("key").alias("g"), "main", "n")
+        rest = now.filter("not tried").join(still, ["key", "g"]).filter("root != main")
+        turn = Window.partitionBy("key", "root").orderBy("fp")
+        centers = cut(rest.withColumn("i", F.row_number().over(turn)).filter(F.col("i") <= share).select("key", "g", F.col("fp").alias("a"), F.col("root").alias("a_root"), "n"))
+        if centers.isEmpty():
+            return roots
+        pairs = now.filter("not tried").join(centers, ["key", "g"]).filter("root != a_root").select("a", F.col("fp").alias("b"), "n")
+        found = cut(found.union(linked(pairs)))
+        done = centers.select("key", "g", F.col("a").alias("fp"), F.lit(True).alias("done"))
+        members = now.join(done, ["key", "g", "fp"], "left").select("key", "g", "fp", (F.col("tried") | F.col("done").isNotNull()).alias("tried"))
+        share *= 4
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, reach: int = 3, least: float = SIMILARITY) -> DataFrame:
@@ -310,7 +322,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, reach: int = 3, least: float = S
     """
     rows = cut(fingerprints(docs, shingle, bands=BANDS))
     points = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_text", "bands")).alias("first")))
-    found = contract(links(points.select("fp"), reach).union(similar(points, docs, shingle, least)))
+    found = components(points, docs, links(points.select("fp"), reach), shingle, least)
     grouped = points.join(found, points.fp == found.node, "left").select(F.coalesce("root", "fp").alias("root"), F.struct("first.none", "first.doc_id", "first.k_text").alias("first"))
     first = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"))
