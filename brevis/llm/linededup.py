@@ -1,12 +1,12 @@
-"""Removal of runs of lines that occur earlier in the corpus, by winnowing.
+"""Removal of runs of lines that occur earlier in the corpus, by hashes of shortest runs.
 
-A text is cut into lines: at line ends, and within long paragraphs after a sentence's end. Each line is a 64-bit hash. In
-every window of WINDOW consecutive hashes the least one (the last of equals) is a fingerprint, so any two runs of WINDOW
-equal lines share one. A fingerprint that occurs more than once is matched with its first position in the order of
-(doc_id, text hash, position); each match is extended both ways while the lines are equal, up to REACH lines, beyond which
-the next fingerprint of the run stands. Runs of at least LEAST_WORDS words go, and the earlier copy stays.
+A text is cut into lines: at line ends, and within long paragraphs after a sentence's end. Each line is a 64-bit hash. From
+every line the shortest run of LEAST_WORDS words forward and the shortest one backward is a key. Which lines such a run takes
+depends on their words alone, so equal runs of LEAST_WORDS words or more hold equal keys, and these cover all their lines.
+Each key has its own first position in the order of (doc_id, text hash, position); all its later occurrences go, so exactly
+the lines go that lie in a run of LEAST_WORDS words that occurs earlier. The earlier copy stays.
 
-Matches go to the first position alone, so a line that a third of all rows hold costs one row for each occurrence.
+Keys are matched with their first position alone, so a line that a third of all rows hold costs one row for each occurrence.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, SPACE_CHARS, cut, let, once
 
-WINDOW, REACH, LEAST_WORDS = 3, 3, 8
+LEAST_WORDS = 8
+#: Of the former rule (window minima, extended from the first position alone); the tests' oracle of that rule reads them.
+WINDOW, REACH = 3, 3
 #: Between lines: before a word, after white space that holds a line end or follows a sentence's end. The third part only
 #: rules out quickly what the fourth would reject: a single blank after a letter.
 BREAK = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<![^.!?{SPACE}][\x20\x09\x0B-\x0D])(?<=[.!?\n][{SPACE}]{{1,8}}|\n)"
@@ -27,100 +29,93 @@ def lines(text: Column) -> Column:
     return F.split(text, BREAK)
 
 
-def hashes(text: Column) -> Column:
-    return F.transform(lines(text), lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE_CHARS))))
-
-
-def selected(h: Column, window: int) -> Column:
-    """Positions of the window minima; a text of fewer lines is one window."""
+def n_words(line: Column) -> Column:
+    """Words of a line, by its blanks."""
+    return let(F.btrim(line, F.lit(SPACE_CHARS)), lambda t: 1 + F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))))
 
-    def at(i: Column) -> Column:
-        part = F.slice(h, i + 1, window)
-        return let(part, lambda s: i + F.size(s) - F.array_position(F.reverse(s), F.array_min(s)).cast("int"))
 
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - window, F.lit(0))), at))
+def runs(n: Column, least_words: int) -> Column:
+    """The shortest runs of `least_words` words from each line forward and backward, as first position * SPAN + lines - 1.
 
+    n: words of each line. Only a text's first line can have none, so a run takes at most least_words + 1 lines.
+    """
+    span = least_words + 1
 
-def around(h: Column, p: Column, reach: int) -> Column:
-    """The hashes from `reach` before to `reach` behind a position, null outside the text."""
-    return F.array(*(F.when(p + k >= 0, F.get(h, p + k)) for k in range(-reach, reach + 1)))
+    def extent(part: Column) -> Column:
+        """Lines that a run takes from the start of a part, null where the part has too few words."""
+        add = lambda s, x: F.when(s["words"] >= least_words, s).otherwise(F.struct((s["words"] + x).alias("words"), (s["size"] + 1).alias("size")))
+        return F.aggregate(part, F.struct(F.lit(0).alias("words"), F.lit(0).alias("size")), add, lambda s: F.when(s["words"] >= least_words, s["size"]))
 
+    def forward(x: Column, i: Column) -> Column:
+        return F.when(x >= least_words, i * span).otherwise(i * span + extent(F.slice(n, i + 1, span)) - 1)
 
-def lined(rows: DataFrame) -> DataFrame:
-    """k_id, k_text and h, the hashes of all lines, once for each document with a word. Texts are cut into lines here alone."""
-    some = rows.filter(F.btrim("text", F.lit(SPACE_CHARS)) != "")
-    hashed = once(some, "h", hashes(F.col("text"))).select("k_id", "k_text", "h")
-    return hashed.groupBy("k_id", "k_text").agg(F.first("h").alias("h"))
+    def backward(x: Column, i: Column) -> Column:
+        before = lambda e: (i - e + 1) * span + e - 1
+        return F.when(x < least_words, let(extent(F.reverse(F.slice(n, F.greatest(i - span + 2, F.lit(1)), F.least(i + 1, F.lit(span))))), before))
 
+    return F.array_distinct(F.array_compact(F.concat(F.transform(n, forward), F.transform(n, backward))))
 
-def removed_spans(rows: DataFrame, window: int, reach: int) -> DataFrame:
-    """k_id, k_text and spans: for each document with repeated lines, (first position, last position) of each extended match.
 
-    rows: k_id (a long, null as the least), k_text (a hash of the text) and text. Only hashes of lines are shuffled.
-    Repeated fingerprints are joined by a second hash as well, so both sides are dealt for the join itself and adaptive
-    execution may split the partition of a fingerprint that a third of all rows hold.
-    """
-    docs = cut(lined(rows))
-    found = once(docs, "at", selected(F.col("h"), window)).select("k_id", "k_text", F.explode(F.transform("at", lambda p: F.struct(F.get("h", p).alias("h"), p.alias("p")))).alias("f")).select("k_id", "k_text", "f.*")
-    often = found.groupBy("h").count().filter("count > 1").select("h", F.hash("h").alias("g"))
-    again = cut(found.withColumn("g", F.hash("h")).join(often, ["h", "g"]).drop("g"))
-    first = again.groupBy("h").agg(F.min(F.struct("k_id", "k_text", "p")).alias("o")).select("h", F.col("o.k_id").alias("k_id"), F.col("o.k_text").alias("k_text"), "o.p")
-    origins = first.groupBy("k_id", "k_text").agg(F.collect_list(F.struct(F.col("h").alias("x"), "p")).alias("at"))
-    near = docs.join(origins, ["k_id", "k_text"]).select(F.struct("k_id", "k_text").alias("o"), F.explode(F.transform("at", lambda a: F.struct(a["x"].alias("h"), a["p"].alias("o_p"), around(F.col("h"), a["p"], reach).alias("near")))).alias("n")).select("o", "n.*")
-    later = again.join(near, "h").filter(F.struct("k_id", "k_text", "p") > F.struct(F.col("o.k_id").alias("k_id"), F.col("o.k_text").alias("k_text"), F.col("o_p").alias("p")))
-    matches = later.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("p", "near")).alias("matches"))
-    return docs.join(matches, ["k_id", "k_text"]).select("k_id", "k_text", F.array_distinct(F.transform("matches", lambda m: extend(F.col("h"), m, reach))).alias("spans"))
+def keyed(text: Column, least_words: int) -> Column:
+    """at, the runs of a text, and keys, their hashes."""
+    span = least_words + 1
 
+    def key(h: Column):
+        return lambda r: F.xxhash64(F.slice(h, F.floor(r / span).cast("int") + 1, r % span + 1))
 
-def extend(h: Column, match: Column, reach: int) -> Column:
-    """(first, last) position of a match in a text, extended while its lines equal those around the origin."""
+    def of(units: Column) -> Column:
+        hashed = F.transform(units, lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE_CHARS))))
+        both = F.struct(hashed.alias("h"), F.transform(units, n_words).alias("n"))
+        return let(let(both, lambda v: F.struct(v["h"].alias("h"), let(v["n"], lambda n: runs(n, least_words)).alias("at"))), lambda v: F.struct(v["at"].alias("at"), let(v["h"], lambda h: F.transform(v["at"], key(h))).alias("keys")))
 
-    def steps(sign: int) -> Column:
-        out = F.lit(reach)
-        for k in range(reach, 0, -1):
-            p = match["p"] + sign * k
-            same = F.when(p >= 0, F.get(h, p)) == F.get(match["near"], F.lit(reach + sign * k))
-            out = F.when(F.coalesce(same, F.lit(False)), out).otherwise(F.lit(k - 1))
-        return out
+    return let(lines(text), of)
 
-    return F.struct((match["p"] - steps(-1)).alias("a"), (match["p"] + steps(1)).alias("z"))
 
+def removed_runs(rows: DataFrame, least_words: int) -> DataFrame:
+    """k_id, k_text and runs: for each document with repeated lines, its runs (as in `runs`) that occur earlier.
 
-def n_words(line: Column) -> Column:
-    """Words of a line, by its blanks."""
-    return let(F.btrim(line, F.lit(SPACE_CHARS)), lambda t: 1 + F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))))
+    rows: k_id (a long, null as the least), k_text (a hash of the text) and text. Only hashes of runs are shuffled, once for
+    each document with a word; texts are cut into lines here alone. Repeated keys are joined by a second hash as well, so both
+    sides are dealt for the join itself and adaptive execution may split the partition of a key that a third of all rows hold.
+    """
+    some = rows.filter(F.btrim("text", F.lit(SPACE_CHARS)) != "")
+    found = once(some, "v", keyed(F.col("text"), least_words)).select("k_id", "k_text", "v.*")
+    docs = cut(found.groupBy("k_id", "k_text").agg(F.first("at").alias("at"), F.first("keys").alias("keys")))
+    each = docs.select("k_id", "k_text", F.explode(F.arrays_zip("at", "keys")).alias("r")).select("k_id", "k_text", F.col("r.keys").alias("h"), F.col("r.at").alias("at"))
+    often = each.groupBy("h").count().filter("count > 1").select("h", F.hash("h").alias("g"))
+    again = cut(each.withColumn("g", F.hash("h")).join(often, ["h", "g"]))
+    # of runs with equal keys, `at` sorts as the first positions do
+    first = again.groupBy("h").agg(F.min(F.struct("k_id", "k_text", "at")).alias("o")).withColumn("g", F.hash("h"))
+    later = again.join(first, ["h", "g"]).filter(F.struct("k_id", "k_text", "at") > F.col("o"))
+    return later.groupBy("k_id", "k_text").agg(F.collect_list("at").alias("runs"))
 
 
-def rid(text: Column, spans: Column, least_words: int) -> Column:
-    """The text without those spans of lines that have `least_words` words, and the number of lines that went."""
+def rid(text: Column, found: Column, least_words: int) -> Column:
+    """The text without those runs of lines, and the number of lines that went."""
+    span = least_words + 1
 
     def drop(units: Column) -> Column:
-        def kept(n: Column) -> Column:
-            enough = F.filter(spans, lambda s: F.aggregate(F.slice(n, s["a"] + 1, s["z"] - s["a"] + 1), F.lit(0), lambda t, x: t + x) >= least_words)
-            gone = F.array_distinct(F.flatten(F.transform(enough, lambda s: F.sequence(s["a"], s["z"]))))
-            left = lambda g: F.array_except(F.sequence(F.lit(0), F.size(units) - 1), g)
-            return let(gone, lambda g: F.struct(F.array_join(F.transform(left(g), lambda i: F.get(units, i)), "").alias("text"), F.size(g).alias("n_removed")))
-
-        return let(F.transform(units, n_words), kept)
+        first = lambda r: F.floor(r / span).cast("int")
+        gone = F.array_distinct(F.flatten(F.transform(found, lambda r: F.sequence(first(r), first(r) + r % span))))
+        left = lambda g: F.array_except(F.sequence(F.lit(0), F.size(units) - 1), g)
+        return let(gone, lambda g: F.struct(F.array_join(F.transform(left(g), lambda i: F.get(units, i)), "").alias("text"), F.size(g).alias("n_removed")))
 
     whole = F.struct(text.alias("text"), F.lit(0).alias("n_removed"))
-    return F.when(spans.isNull(), whole).otherwise(let(lines(text), drop))
+    return F.when(found.isNull(), whole).otherwise(let(lines(text), drop))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, reach: int = REACH, least_words: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Each row as `doc`, and `clean`: its text without repeated runs, and n_removed, the lines that went.
 
     A null text stays null and an empty one empty. A null doc_id comes before all others. Rows that share a doc_id and a
     text are one document given twice: neither is later than the other. Lines that are equal within one document count
     as earlier and later too.
     """
-    if reach < window:
-        raise ValueError("reach must be at least the window, or runs have gaps between their fingerprints")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k_id"), F.xxhash64("text").alias("k_text")]
     rows = docs.select(F.struct("*").alias("doc"), *key, F.col("text").cast("string").alias("text"))
-    spans = removed_spans(rows.select("k_id", "k_text", "text"), window, reach)
-    both = rows.join(spans, ["k_id", "k_text"], "left")
-    return once(both, "clean", rid(F.col("text"), F.col("spans"), least_words)).select("doc", "clean")
+    found = removed_runs(rows.select("k_id", "k_text", "text"), least_words)
+    both = rows.join(found, ["k_id", "k_text"], "left")
+    return once(both, "clean", rid(F.col("text"), F.col("runs"), least_words)).select("doc", "clean")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
