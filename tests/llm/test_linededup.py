@@ -135,3 +135,13 @@ def test_frequent_lines_keep_their_other_contexts(spark):
     passage = " ".join(short)
     got = cleaned(spark, *short, "Own words come first. " + passage + " Own end.", "Other words begin. " + passage + " Other end.")
     assert got[7] == "Other words begin. Other end." and got[6].count(passage) == 1
+
+
+def test_single_long_lines_go(spark):
+    texts = [[], []]
+    for i in range(20):
+        for side, text in enumerate(texts):
+            text += [f"Own{side}x{i}n{j} is here." for j in range(4)]
+            text.append(" ".join(f"w{i}n{j}" for j in range(60)) + ".")
+    got = cleaned(spark, *(" ".join(t) for t in texts))
+    assert got[0] == " ".join(texts[0]) and " w" not in got[1] and got[1].count("Own1x") == 80
