@@ -19,6 +19,8 @@ from .common import SPACE, SPACE_CHARS, cut, let, once
 LEAST_WORDS = 8
 #: Of the former rule (window minima, extended from the first position alone); the tests' oracle of that rule reads them.
 WINDOW, REACH = 3, 3
+#: Scripts written without blanks, as a character class body, and the characters that always count as a word.
+UNSPACED, LONG_WORD = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}", 20
 #: Between lines: before a word, after white space that holds a line end or follows a sentence's end. The third part only
 #: rules out quickly what the fourth would reject: a single blank after a letter.
 BREAK = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<![^.!?{SPACE}][\x20\x09\x0B-\x0D])(?<=[.!?\n][{SPACE}]{{1,8}}|\n)"
@@ -30,8 +32,19 @@ def lines(text: Column) -> Column:
 
 
 def n_words(line: Column) -> Column:
-    """Words of a line, by its blanks."""
-    return let(F.btrim(line, F.lit(SPACE_CHARS)), lambda t: 1 + F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))))
+    """Words of a line, runs of anything but white space and Unicode's blanks. Scripts without blanks count two characters as a
+    word, and LONG_WORD characters count as one at least, so that no text is without words for its want of blanks."""
+
+    def count(t: Column) -> Column:
+        blanks = 1 + F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit("")))
+        odd = (F.octet_length(t) > F.char_length(t)) & t.rlike(rf"[\p{{Z}}{UNSPACED}&&[^ ]]")
+        for mark in ("  ", *SPACE_CHARS[1:]):
+            odd = odd | F.contains(t, F.lit(mark))
+        by_class = F.regexp_count(t, F.lit(rf"[{UNSPACED}]{{1,2}}|[^{SPACE}\p{{Z}}{UNSPACED}]+"))
+        found = F.greatest(F.when(odd, by_class).otherwise(blanks), F.floor(F.char_length(t) / LONG_WORD).cast("int"), F.lit(1))
+        return F.when(t == "", 0).otherwise(found)
+
+    return let(F.btrim(line, F.lit(SPACE_CHARS)), count)
 
 
 def runs(n: Column, least_words: int) -> Column:

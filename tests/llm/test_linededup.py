@@ -145,3 +145,17 @@ def test_single_long_lines_go(spark):
             text.append(" ".join(f"w{i}n{j}" for j in range(60)) + ".")
     got = cleaned(spark, *(" ".join(t) for t in texts))
     assert got[0] == " ".join(texts[0]) and " w" not in got[1] and got[1].count("Own1x") == 80
+
+
+def test_words_without_blanks_count(spark):
+    table = "\n".join("\t".join(f"r{i}c{j}" for j in range(5)) for i in range(20)) + "\n"
+    hard = "\u00a0".join(f"hard{j}" for j in range(9)) + ".\n"
+    han = "".join(chr(0x4E00 + 7 * j) for j in range(20)) + ".\n"
+    comma = ",".join(f"cell{j:03}" for j in range(25)) + ".\n"
+    few = "one  two   three    four\n"
+    shared = [table, hard, han, comma, few]
+    got = cleaned(spark, *(f"Own words of {side} that come first here.\n{x}Own {side} ends {i} of all texts that were given.\n" for i, x in enumerate(shared) for side in ("a", "b")))
+    assert [x in got[2 * i] for i, x in enumerate(shared)] == [True] * 5
+    # few words with many blanks between them are still few
+    assert [x in got[2 * i + 1] for i, x in enumerate(shared)] == [False] * 4 + [True]
+    assert not any(f"r{i}c" in got[1] for i in range(20))
