@@ -67,11 +67,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least:
     Items without words match nothing; items of fewer words than a shingle are matched whole, as one shingle. Null and
     empty texts hold nothing. Rows that share a doc_id and a text give their windows once.
     """
+    args = shingle, least, doc_id, text, item_id, item_text
+    return hashed_leaks(docs, benchmark, *args).drop("hash")
+
+
+def hashed_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`leaks` with hash, the hash of the text, which tells rows of one doc_id apart."""
     items = once(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("t")), "w", tokens(F.coalesce("t", F.lit(""))))
     items = items.filter(F.size("w") > 0).withColumn("n", F.size("w"))
     sizes = sorted({min(shingle, r.n) for r in items.groupBy(F.least("n", F.lit(shingle)).alias("n")).count().collect()})
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, n_words long, bits int, similarity double")
+        return docs.sparkSession.createDataFrame([], "doc_id long, hash long, item_id long, start long, n_words long, bits int, similarity double")
     parts = [once(items.filter(F.least("n", F.lit(shingle)) == k), "h", shingles(F.col("w"), k)).select("item_id", "n", F.lit(k).alias("k"), "h") for k in sizes]
     known = parts[0]
     for p in parts[1:]:
@@ -102,20 +108,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, least:
     def windows(w: Column) -> Column:
         return F.concat(*(of_size(w, k) for k in sizes))
 
-    laid = held.select("doc_id", F.explode(let(tokens(F.col("text")), windows)).alias("v")).select("doc_id", "v.*")
+    laid = held.select("doc_id", "hash", F.explode(let(tokens(F.col("text")), windows)).alias("v")).select("doc_id", "hash", "v.*")
     laid = once(laid, "fp", simhash(F.col("h")))
     blocks = lambda df, *c: df.select(*c, F.posexplode("fp").alias("b", "v"))
     theirs = blocks(known.withColumnsRenamed({"h": "ih", "fp": "ifp"}).withColumn("fp", F.col("ifp")), "item_id", "n", "k", "ih", "ifp")
-    ours = blocks(laid.withColumn("fp0", F.col("fp")), "doc_id", "start", "n", "k", "h", "fp0")
+    ours = blocks(laid.withColumn("fp0", F.col("fp")), "doc_id", "hash", "start", "n", "k", "h", "fp0")
     met = ours.join(small(theirs), ["n", "k", "b", "v"])
     # a pair that agrees in several blocks is taken at the first of them
     same = F.array_position(F.zip_with("fp0", "ifp", lambda a, b: a == b), F.lit(True)) - 1
     met = met.filter((F.col("b") == same) & (apart(F.col("fp0"), F.col("ifp")) <= RADIUS))
-    rated = met.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n_words"), apart(F.col("fp0"), F.col("ifp")).alias("bits"), similarity(F.col("h"), F.col("ih")).alias("similarity"))
+    rated = met.select("doc_id", "hash", "item_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n_words"), apart(F.col("fp0"), F.col("ifp")).alias("bits"), similarity(F.col("h"), F.col("ih")).alias("similarity"))
     return rated.filter(F.col("similarity") >= least)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows in which no benchmark item is found."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found["_leaked"]), "left_anti")
+    found = hashed_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked"), F.col("hash").alias("_hash")).distinct()
+    own = F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit("")))
+    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found["_leaked"]) & (own == found["_hash"]), "left_anti")

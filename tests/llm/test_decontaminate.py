@@ -50,3 +50,11 @@ def test_odd_rows(spark):
     assert got == {(None, 1), (None, 4)}
     assert D.keep_clean(docs, items).columns == docs.columns and D.keep_clean(docs, items).count() == docs.count() - 1
     assert D.leaks(empty_documents(spark), items).collect() == [] and D.leaks(docs, items.limit(0)).collect() == []
+
+
+def test_clean_rows_of_a_leaked_id_stay(spark):
+    item = " ".join(f"asked{i}" for i in range(30))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "So: " + item), (None, "Clean text without an id."), (None, None), (7, item + " end"), (7, "Clean text of the same id."), (8, "Clean.")]
+    got = {(r.doc_id, r.text) for r in D.keep_clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {rows[1], rows[2], rows[4], rows[5]}
