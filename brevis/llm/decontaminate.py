@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits in lower case. A window of a document that is as long as an item and similar to it
 (weighted Jaccard of SHINGLE-word shingles of SIMILARITY or more, a shingle's weight being its occurrences) shares a
-shingle with it, so windows are laid where a document's shingle is one of an item's, aligned with its place there. Each
+shingle with it, so windows are laid where a document's shingle is one of an item's, aligned with its place there; where one
+reaches over an edge of the document it is clipped to it, and dropped only if it holds too few shingles for SIMILARITY. Each
 window and each item gets a 64-bit SimHash. The fingerprints are cut into RADIUS + 1 blocks; two that differ in at most
 RADIUS bits agree in a block, so an equi-join on (length, block) finds all of them. Their exact weighted similarity then
 decides. All of it is built-in expressions.
@@ -96,13 +97,19 @@ def hashed_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         at = keyed.select("doc_id", "hash", F.posexplode(let(tokens(F.col("text")), sized(k))).alias("pos", "h"))
         hits = at.join(small(places.filter(F.col("k") == k).drop("k")), "h").select("doc_id", "hash", F.lit(k).alias("k"), "n", (F.col("pos") - F.col("i")).alias("start"))
         found = hits if found is None else found.union(hits)
-    spots = found.filter("start >= 0").distinct().groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "n", "k")).alias("spots"))
+    spots = found.distinct().groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "n", "k")).alias("spots"))
     spots = spots.withColumnsRenamed({"doc_id": "d", "hash": "x"})
     held = keyed.join(spots, keyed.doc_id.eqNullSafe(spots.d) & (keyed.hash == spots.x)).dropDuplicates(["doc_id", "hash"])
 
     def of_size(w: Column, k: int) -> Column:
-        inside = F.filter("spots", lambda s: (s["k"] == k) & (s["start"] + s["n"] <= F.size(w)))
-        window = lambda h, s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["k"].alias("k"), F.slice(h, s["start"] + 1, s["n"] - k + 1).alias("h"))
+        first = lambda s: F.greatest(s["start"], F.lit(0))
+        clip = lambda s: F.struct(first(s).alias("start"), (F.least(s["start"] + s["n"], F.size(w)) - first(s)).alias("len"), s["n"].alias("n"), s["k"].alias("k"))
+        # the similarity is at most the share of shingles that are left
+        enough = lambda s: (s["len"] - k + 1) / (s["n"] - k + 1) >= least
+        clipped = F.filter(F.transform(F.filter("spots", lambda s: s["k"] == k), clip), enough)
+        # only windows that are the whole document can coincide
+        inside = let(clipped, lambda c: F.concat(F.filter(c, lambda s: s["len"] < F.size(w)), F.array_distinct(F.filter(c, lambda s: s["len"] == F.size(w)))))
+        window = lambda h, s: F.struct(s["start"].alias("start"), s["len"].alias("len"), s["n"].alias("n"), s["k"].alias("k"), F.slice(h, s["start"] + 1, s["len"] - k + 1).alias("h"))
         return let(shingles(w, k), lambda h: F.transform(inside, lambda s: window(h, s)))
 
     def windows(w: Column) -> Column:
@@ -112,12 +119,12 @@ def hashed_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     laid = once(laid, "fp", simhash(F.col("h")))
     blocks = lambda df, *c: df.select(*c, F.posexplode("fp").alias("b", "v"))
     theirs = blocks(known.withColumnsRenamed({"h": "ih", "fp": "ifp"}).withColumn("fp", F.col("ifp")), "item_id", "n", "k", "ih", "ifp")
-    ours = blocks(laid.withColumn("fp0", F.col("fp")), "doc_id", "hash", "start", "n", "k", "h", "fp0")
+    ours = blocks(laid.withColumn("fp0", F.col("fp")), "doc_id", "hash", "start", "len", "n", "k", "h", "fp0")
     met = ours.join(small(theirs), ["n", "k", "b", "v"])
     # a pair that agrees in several blocks is taken at the first of them
     same = F.array_position(F.zip_with("fp0", "ifp", lambda a, b: a == b), F.lit(True)) - 1
     met = met.filter((F.col("b") == same) & (apart(F.col("fp0"), F.col("ifp")) <= RADIUS))
-    rated = met.select("doc_id", "hash", "item_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n_words"), apart(F.col("fp0"), F.col("ifp")).alias("bits"), similarity(F.col("h"), F.col("ih")).alias("similarity"))
+    rated = met.select("doc_id", "hash", "item_id", F.col("start").cast("long").alias("start"), F.col("len").cast("long").alias("n_words"), apart(F.col("fp0"), F.col("ifp")).alias("bits"), similarity(F.col("h"), F.col("ih")).alias("similarity"))
     return rated.filter(F.col("similarity") >= least)
 
 

@@ -58,3 +58,15 @@ def test_clean_rows_of_a_leaked_id_stay(spark):
     rows = [(None, "So: " + item), (None, "Clean text without an id."), (None, None), (7, item + " end"), (7, "Clean text of the same id."), (8, "Clean.")]
     got = {(r.doc_id, r.text) for r in D.keep_clean(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     assert got == {rows[1], rows[2], rows[4], rows[5]}
+
+
+def test_items_clipped_at_an_edge(spark):
+    w = [f"asked{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    cut = {1: w[1:], 2: w[:-2], 3: w[2:-2], 4: w[2:] + ["then", "more"] * 30, 5: ["more", "first"] * 30 + w[:-3], 6: w[20:], 7: w[8:] + ["then"] * 60, 8: w}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in cut.items()], "doc_id long, text string")
+    got = D.leaks(docs, items).collect()
+    # 36 shingles; the words that are left, from the edge
+    assert sorted((r.doc_id, r.start, r.n_words) for r in got) == [(1, 0, 39), (2, 0, 38), (3, 0, 36), (4, 0, 38), (5, 60, 37), (8, 0, 40)]
+    assert all(abs(r.similarity - (r.n_words - 4) / 36) < 1e-12 for r in got)
+    assert {r.doc_id for r in D.keep_clean(docs, items).collect()} == {6, 7}
