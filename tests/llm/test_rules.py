@@ -1,5 +1,7 @@
 import math
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
 from brevis.llm import rules
@@ -48,6 +50,76 @@ def test_distance_matches_its_definition(spark):
     assert abs(got - math.sqrt((kl(a, m) + kl(b, m)) / 2)) < 1e-12
 
 
+def brute_histograms(text, lang):
+    text = text or ""
+    at = [0] * 6
+    for c in text:
+        kind = unicodedata.category(c)
+        if kind == "Lu":
+            k = 1
+        elif kind[0] == "N":
+            k = 2
+        elif c in " \t\n\x0b\x0c\r":
+            k = 3
+        elif c in ".,;:!?'\"()-":
+            k = 4
+        elif c in "#*$%&|<>@^_~=+/\\{}[]":
+            k = 5
+        else:
+            k = 0
+        at[k] += 1
+    known = rules.COMMON.get(lang)
+    if not known:
+        return at, None
+    found = [w for w in re.split(r"[\x20\x09-\x0D.,;:!?'\"()\-]+", text.lower()) if w]
+    n = Counter(found)
+    return at, [*(n[w] for w in known), len(found) - sum(n[w] for w in known)]
+
+
+def jsd(p, q):
+    if not p or not q or not sum(p) or not sum(q):
+        return None
+    a, b = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    m = [(x + y) / 2 for x, y in zip(a, b)]
+    kl = lambda u: sum(x * math.log2(x / y) for x, y in zip(u, m) if x)
+    return math.sqrt(max(0, (kl(a) + kl(b)) / 2))
+
+
+def check_verdicts(docs):
+    rows = [(r.doc_id, r.text or "", r.lang if r.lang in rules.COMMON else "") for r in docs.collect()]
+    sums, hists = {}, []
+    for _, text, lang in rows:
+        h = brute_histograms(text, lang)
+        hists.append(h)
+        total = sums.setdefault(lang, ([0] * 6, [0] * 21 if lang else None))
+        for t, x in zip(total, h):
+            if x:
+                t[:] = [u + v for u, v in zip(t, x)]
+    want = []
+    for (i, text, lang), (at, common) in zip(rows, hists):
+        n_words, *_, failed = base(text)
+        chars = jsd(at, sums[lang][0]) if len(text) >= rules.LEAST_CHARS else None
+        far = jsd(common, sums[lang][1]) if n_words >= rules.LEAST_WORDS else None
+        bad = (chars or 0) > rules.CHAR_LIMIT or (far is not None and far > math.sqrt(rules.WORD_LIMIT**2 + 20 / (8 * math.log(2) * n_words)))
+        want.append((i, chars, far, not failed and not bad))
+    shown = lambda x: None if x is None else round(x, 9)
+    order = lambda found: sorted(((i, shown(c), shown(f), k) for i, c, f, k in found), key=str)
+    assert order((r.doc_id, r.jsd_chars, r.jsd_words, r.kept) for r in rules.quality_rules(docs).collect()) == order(want)
+
+
+def test_histograms_and_verdicts_match_brute_force(spark):
+    check_verdicts(spark.read.parquet(f"{SF}/documents.parquet"))
+    check_verdicts(odd_documents(spark))
+
+
+def test_verdict_on_labels_that_set_no_limit(spark):
+    sf = SF.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rest = [r for r in rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).collect() if zlib.crc32(str(r.doc_id).encode()) % 2 and not r.base_failed]
+    good, junk = ([r.kept for r in rest if labels.get(r.doc_id) == q] for q in (1, 0))
+    assert len(junk) > 5 and sum(good) >= 0.99 * len(good) and sum(junk) <= 0.2 * len(junk)
+
+
 def test_verdict_agrees_with_quality_labels(spark):
     sf = SF.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
