@@ -31,20 +31,24 @@ def lines(text: Column) -> Column:
     return F.split(text, BREAK)
 
 
-def n_words(line: Column) -> Column:
-    """Words of a line, runs of anything but white space and Unicode's blanks. Scripts without blanks count two characters as a
-    word, and LONG_WORD characters count as one at least, so that no text is without words for its want of blanks."""
+def odd(text: Column) -> Column:
+    """Whether a text has white space other than single blanks and line ends, or scripts without blanks."""
+    # the second test only rules out quickly what the third would reject
+    found = (F.octet_length(text) > F.char_length(text)) & text.rlike(r"[\u00A0\u0E00-\x{10FFFF}]") & text.rlike(rf"[\p{{Z}}{UNSPACED}&&[^ ]]")
+    for mark in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        found = found | F.contains(text, F.lit(mark))
+    return found
 
-    def count(t: Column) -> Column:
-        blanks = 1 + F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit("")))
-        odd = (F.octet_length(t) > F.char_length(t)) & t.rlike(rf"[\p{{Z}}{UNSPACED}&&[^ ]]")
-        for mark in ("  ", *SPACE_CHARS[1:]):
-            odd = odd | F.contains(t, F.lit(mark))
-        by_class = F.regexp_count(t, F.lit(rf"[{UNSPACED}]{{1,2}}|[^{SPACE}\p{{Z}}{UNSPACED}]+"))
-        found = F.greatest(F.when(odd, by_class).otherwise(blanks), F.floor(F.char_length(t) / LONG_WORD).cast("int"), F.lit(1))
-        return F.when(t == "", 0).otherwise(found)
 
-    return let(F.btrim(line, F.lit(SPACE_CHARS)), count)
+def n_words(line: Column, by_class: Column) -> Column:
+    """Words of a trimmed line, runs of anything but white space and Unicode's blanks. Scripts without blanks count two characters
+    as a word, and LONG_WORD characters count as one at least, so that no text is without words for its want of blanks.
+
+    by_class: whether the text is odd. In others single blanks part the words, so it is enough to count them.
+    """
+    blanks = 1 + F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    classed = F.regexp_count(line, F.lit(rf"[{UNSPACED}]{{1,2}}|[^{SPACE}\p{{Z}}{UNSPACED}]+"))
+    return F.when(line == "", 0).otherwise(F.greatest(F.when(by_class, classed).otherwise(blanks), F.floor(F.char_length(line) / LONG_WORD).cast("int"), F.lit(1)))
 
 
 def runs(n: Column, least_words: int) -> Column:
@@ -54,34 +58,44 @@ def runs(n: Column, least_words: int) -> Column:
     """
     span = least_words + 1
 
-    def extent(part: Column) -> Column:
-        """Lines that a run takes from the start of a part, null where the part has too few words."""
-        add = lambda s, x: F.when(s["words"] >= least_words, s).otherwise(F.struct((s["words"] + x).alias("words"), (s["size"] + 1).alias("size")))
-        return F.aggregate(part, F.struct(F.lit(0).alias("words"), F.lit(0).alias("size")), add, lambda s: F.when(s["words"] >= least_words, s["size"]))
+    def extent(x: Column, i: Column, way: int) -> Column:
+        """Lines that a run takes from line i (of x words, too few) on, null where the text has too few words that way."""
+        out, words = F.when(F.lit(False), 0), x
+        for k in range(1, span):
+            place = i + way * k
+            words = words + (F.get(n, place) if way > 0 else F.when(place >= 0, F.get(n, place)))
+            out = out.when(words >= least_words, k + 1)
+        return out
 
     def forward(x: Column, i: Column) -> Column:
-        return F.when(x >= least_words, i * span).otherwise(i * span + extent(F.slice(n, i + 1, span)) - 1)
+        return F.when(x >= least_words, i * span).otherwise(i * span + extent(x, i, 1) - 1)
 
     def backward(x: Column, i: Column) -> Column:
-        before = lambda e: (i - e + 1) * span + e - 1
-        return F.when(x < least_words, let(extent(F.reverse(F.slice(n, F.greatest(i - span + 2, F.lit(1)), F.least(i + 1, F.lit(span))))), before))
+        return F.when(x < least_words, let(extent(x, i, -1), lambda e: (i - e + 1) * span + e - 1))
 
     return F.array_distinct(F.array_compact(F.concat(F.transform(n, forward), F.transform(n, backward))))
 
 
 def keyed(text: Column, least_words: int) -> Column:
-    """at, the runs of a text, and keys, their hashes."""
+    """The runs of a text with the hashes of their lines: an array of structs of at and h."""
     span = least_words + 1
 
     def key(h: Column):
-        return lambda r: F.xxhash64(F.slice(h, F.floor(r / span).cast("int") + 1, r % span + 1))
+        def of(r: Column) -> Column:
+            def lines_of(first: Column) -> Column:
+                rest = (F.when(F.lit(k) <= r % span, F.get(h, first + k)) for k in range(1, span))
+                return F.when(r % span == 0, F.xxhash64(F.get(h, first))).otherwise(F.xxhash64(F.get(h, first), *rest))
+
+            return F.struct(r.alias("at"), let(F.floor(r / span).cast("int"), lines_of).alias("h"))
+
+        return of
 
-    def of(units: Column) -> Column:
-        hashed = F.transform(units, lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE_CHARS))))
-        both = F.struct(hashed.alias("h"), F.transform(units, n_words).alias("n"))
-        return let(let(both, lambda v: F.struct(v["h"].alias("h"), let(v["n"], lambda n: runs(n, least_words)).alias("at"))), lambda v: F.struct(v["at"].alias("at"), let(v["h"], lambda h: F.transform(v["at"], key(h))).alias("keys")))
+    def of(units: Column, by_class: Column) -> Column:
+        hashed, n = F.transform(units, lambda x: F.xxhash64(x)), F.transform(units, lambda x: n_words(x, by_class))
+        return let(hashed, lambda h: F.transform(let(n, lambda w: runs(w, least_words)), key(h)))
 
-    return let(lines(text), of)
+    trimmed = F.transform(lines(text), lambda x: F.btrim(x, F.lit(SPACE_CHARS)))
+    return let(odd(text), lambda o: let(trimmed, lambda u: of(u, o)))
 
 
 def removed_runs(rows: DataFrame, least_words: int) -> DataFrame:
@@ -92,15 +106,15 @@ def removed_runs(rows: DataFrame, least_words: int) -> DataFrame:
     sides are dealt for the join itself and adaptive execution may split the partition of a key that a third of all rows hold.
     """
     some = rows.filter(F.btrim("text", F.lit(SPACE_CHARS)) != "")
-    found = once(some, "v", keyed(F.col("text"), least_words)).select("k_id", "k_text", "v.*")
-    docs = cut(found.groupBy("k_id", "k_text").agg(F.first("at").alias("at"), F.first("keys").alias("keys")))
-    each = docs.select("k_id", "k_text", F.explode(F.arrays_zip("at", "keys")).alias("r")).select("k_id", "k_text", F.col("r.keys").alias("h"), F.col("r.at").alias("at"))
-    often = each.groupBy("h").count().filter("count > 1").select("h", F.hash("h").alias("g"))
-    again = cut(each.withColumn("g", F.hash("h")).join(often, ["h", "g"]))
-    # of runs with equal keys, `at` sorts as the first positions do
-    first = again.groupBy("h").agg(F.min(F.struct("k_id", "k_text", "at")).alias("o")).withColumn("g", F.hash("h"))
-    later = again.join(first, ["h", "g"]).filter(F.struct("k_id", "k_text", "at") > F.col("o"))
-    return later.groupBy("k_id", "k_text").agg(F.collect_list("at").alias("runs"))
+    found = cut(once(some, "r", keyed(F.col("text"), least_words)).select("k_id", "k_text", "r"))
+    each = found.select("k_id", "k_text", F.explode("r").alias("r")).select("k_id", "k_text", "r.*")
+    often = each.groupBy("h").agg(F.count("*").alias("n"), F.min("k_id").alias("m")).filter("n > 1").select("h", F.hash("h").alias("g"), "m")
+    again = cut(each.withColumn("g", F.hash("h")).join(often, ["h", "g"]).select("h", "g", "k_id", "k_text", "at", (F.col("k_id") > F.col("m")).alias("late")))
+    # of runs with equal keys, `at` sorts as the first positions do; only those of the least k_id need more than it to be ordered
+    even = again.filter("not late").select("h", "g", "k_id", "k_text", "at")
+    first = even.groupBy("h").agg(F.min(F.struct("k_text", "at")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("h", F.hash("h").alias("g"), "o")
+    later = even.join(first, ["h", "g"]).filter(F.struct("k_text", "at") > F.col("o")).select("k_id", "k_text", "at")
+    return again.filter("late").select("k_id", "k_text", "at").union(later).groupBy("k_id", "k_text").agg(F.collect_set("at").alias("runs"))
 
 
 def rid(text: Column, found: Column, least_words: int) -> Column:
