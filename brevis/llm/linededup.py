@@ -21,14 +21,14 @@ LEAST_WORDS = 8
 WINDOW, REACH = 3, 3
 #: Scripts written without blanks, as a character class body, and the characters that always count as a word.
 UNSPACED, LONG_WORD = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}", 20
-#: Between lines: before a word, after white space that holds a line end or follows a sentence's end. The third part only
-#: rules out quickly what the fourth would reject: a single blank after a letter.
-BREAK = rf"(?<=[{SPACE}])(?=[^{SPACE}])(?<![^.!?{SPACE}][\x20\x09\x0B-\x0D])(?<=[.!?\n][{SPACE}]{{1,8}}|\n)"
+#: A line with the white space that follows it. It ends where white space that holds a line end or follows a sentence's end
+#: meets a word. Nothing in it can backtrack, so it takes one pass over any text.
+LINE = rf"(?s)(?=.)[^.!?\n]*+(?:[.!?\n](?![{SPACE}]*+(?<=[{SPACE}])[^{SPACE}])[^.!?\n]*+)*+(?:[.!?\n][{SPACE}]*+)?"
 
 
 def lines(text: Column) -> Column:
     """The lines of a text with the white space that follows them; together they are the text."""
-    return F.split(text, BREAK)
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
 def odd(text: Column) -> Column:
@@ -73,7 +73,8 @@ def runs(n: Column, least_words: int) -> Column:
     def backward(x: Column, i: Column) -> Column:
         return F.when(x < least_words, let(extent(x, i, -1), lambda e: (i - e + 1) * span + e - 1))
 
-    return F.array_distinct(F.array_compact(F.concat(F.transform(n, forward), F.transform(n, backward))))
+    # the distinct ones that aren't null
+    return F.array_except(F.concat(F.transform(n, forward), F.transform(n, backward)), F.array(F.lit(None).cast("int")))
 
 
 def keyed(text: Column, least_words: int) -> Column:
