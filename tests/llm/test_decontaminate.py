@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -63,10 +64,45 @@ def test_clean_rows_of_a_leaked_id_stay(spark):
 def test_items_clipped_at_an_edge(spark):
     w = [f"asked{i}" for i in range(40)]
     items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
-    cut = {1: w[1:], 2: w[:-2], 3: w[2:-2], 4: w[2:] + ["then", "more"] * 30, 5: ["more", "first"] * 30 + w[:-3], 6: w[20:], 7: w[8:] + ["then"] * 60, 8: w}
+    cut = {1: w[1:], 2: w[:-2], 3: w[2:-2], 4: w[2:] + ["then", "more"] * 30, 5: ["more", "first"] * 30 + w[:-3], 6: w[20:], 7: w[8:] + ["then"] * 60, 8: w, 9: w[5:] + ["then", "more"] * 30, 10: ["more", "first"] * 30 + w[:-6]}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in cut.items()], "doc_id long, text string")
-    got = D.leaks(docs, items).collect()
-    # 36 shingles; the words that are left, from the edge
-    assert sorted((r.doc_id, r.start, r.n_words) for r in got) == [(1, 0, 39), (2, 0, 38), (3, 0, 36), (4, 0, 38), (5, 60, 37), (8, 0, 40)]
-    assert all(abs(r.similarity - (r.n_words - 4) / 36) < 1e-12 for r in got)
+    got = sorted((r.doc_id, r.start, r.n_words, round(r.similarity, 9)) for r in D.leaks(docs, items).collect())
+    # of 36 shingles: whole windows that begin or end in the item, else the words that are left, from the edge
+    whole = [(4, 0, 40, 34 / 38), (4, 1, 40, 33 / 39), (4, 2, 40, 32 / 40), (5, 56, 40, 32 / 40), (5, 57, 40, 33 / 39), (8, 0, 40, 1)]
+    clipped = [(1, 0, 39, 35 / 36), (2, 0, 38, 34 / 36), (3, 0, 36, 32 / 36), (9, 0, 35, 31 / 36), (10, 60, 34, 30 / 36)]
+    assert got == sorted((*x, round(y, 9)) for *x, y in whole + clipped)
     assert {r.doc_id for r in D.keep_clean(docs, items).collect()} == {6, 7}
+
+
+def test_altered_passages_are_all_found(spark):
+    """Passages with trimmed ends, changed and inserted words, inside other text and alone: all windows and all links."""
+    rng = random.Random(11)
+    own = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(12).collect()]
+    rows = []
+    for k in range(160):
+        p = words(rng.choice(own)[1])
+        a, b = rng.randrange(3), rng.randrange(3)
+        p = p[a : len(p) - b]
+        for _ in range(rng.randrange(2)):
+            p[rng.choice([0, 1, -1, rng.randrange(len(p))])] = f"new{k}"
+        if rng.random() < 0.3:
+            p.insert(rng.randrange(len(p)), f"more{k}")
+        lead, tail = ([f"x{rng.randrange(900)}" for _ in range(rng.choice([0, 3, 50]))] for _ in "ab")
+        rows.append((k, " ".join(lead + p + tail)))
+    got = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(own, "item_id long, text string")).collect()
+    want = brute(rows, own)
+    size = {i: len(words(t)) for i, t in own}
+    assert {(r.doc_id, r.item_id, r.start, r.n_words) for r in got if r.n_words == size[r.item_id]} == want and len(want) > 200
+    clipped = {(r.doc_id, r.item_id) for r in got if r.n_words < size[r.item_id]}
+    assert clipped.isdisjoint({x[:2] for x in want}) and clipped
+
+
+def test_starts(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    cases = [(sorted(rng.sample(range(30), rng.randrange(12))), rng.randrange(1, 9), rng.randrange(1, 6)) for _ in range(60)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, p array<int>, size int, least int")
+    got = {r.i: r.s for r in df.select("i", D.starts(F.col("p"), F.col("size"), F.col("least")).alias("s")).collect()}
+    for i, (p, size, least) in enumerate(cases):
+        assert got[i] == [s for s in range(-20, 40) if sum(s <= x < s + size for x in p) >= least]
