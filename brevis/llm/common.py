@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +22,15 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+def running(values: Column, join) -> Column:
+    """Running totals of an array (of up to 2^26 elements) under an associative join(earlier, later), in n log n steps."""
+
+    def wider(v: Column, k: Column) -> Column:
+        return F.when(F.size(v) <= k, v).otherwise(F.transform(v, lambda x, i: F.when(i >= k, join(F.get(v, i - k), x)).otherwise(x)))
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(26))), values, wider)
+
+
 def words(text: Column) -> Column:
     """The words of a text, runs of anything but white space; null and blank texts have none."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))
@@ -32,10 +40,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder. A temporary one is set only where there is none."""
+    """The folder that all executors share: the session's checkpoint folder, set from spark.checkpoint.dir. Where neither is
+    given, it is a folder in the warehouse, which is shared as well; never a temporary folder of one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
     return sc.getCheckpointDir()
 
 
@@ -61,8 +70,3 @@ def open_store(uri: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def key_of(*cols: str) -> Column:
-    """A row's identity when doc_id may be null or occur more than once: equal only for equal values."""
-    return F.struct(*cols)

@@ -2,16 +2,18 @@
 
 A candidate is a long run of letters, digits and `+/_-` with a digit in it. Its character class (hex digits, or mixed)
 sets the limit. A window moves over it while the counts of its characters are kept up: one goes out, one comes in, and the
-sum of c * log2 c changes by those two alone. The highest entropy of any window decides. An allow-list of well-known
+sum of c * log2 c changes by those two alone, so each step costs the same. The highest entropy of any window decides. An allow-list of well-known
 harmless shapes suppresses findings, and so does overlap with a pattern's span. Positions are in code points.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, once
+from .common import let, once, running
 
 # The patterns of the base kinds, as given.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,67 +29,86 @@ HEX_LIMIT, MIXED_LIMIT = 3.0, 3.6
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[0-9_/+-]+$",
-    r"^[A-Za-z]*([-_/+][A-Za-z]+)*[-_/+]?[0-9]{1,4}$",
+    r"^[A-Za-z]*+(?:[-_/+][A-Za-z]++)*+[-_/+]?[0-9]{1,4}$",
     r"(?i)example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh",
 )
 
 
-def located(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """(start, end) of the leftmost non-overlapping matches whose group has `least` characters or more."""
+SPANS = "array<struct<a:int,z:int,i:int>>"
+
+
+def located(text: Column, pattern: str, found: Column) -> Column:
+    """(start, end, number) of `found`, the leftmost non-overlapping matches of the pattern."""
 
-    def place(found: Column) -> Column:
-        def walk(between: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,z:int,i:int>>").alias("out"))
+    def place(between: Column) -> Column:
+        # the ends: what lies before and in the matches, summed up
+        sizes = F.transform(found, lambda v, i: F.length(F.get(between, i)) + F.length(v))
+        ends = running(sizes, lambda x, y: x + y)
+        return let(ends, lambda z: F.transform(found, lambda v, i: F.struct((F.get(z, i) - F.length(v)).alias("a"), F.get(z, i).alias("z"), i.alias("i"))))
 
-            def step(s: Column, i: Column) -> Column:
-                a = s["at"] + F.length(F.get(between, i))
-                z = a + F.length(F.get(found, i))
-                return F.struct(z.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("a"), z.alias("z"), i.alias("i")))).alias("out"))
+    return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(let(F.split(text, pattern, -1), place))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])
 
-        return F.when(F.size(found) == 0, F.array().cast("array<struct<a:int,z:int,i:int>>")).otherwise(let(F.split(text, pattern, -1), walk))
+def base_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """The spans of matches whose group has `least` characters or more."""
 
-    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
-    if least:
+    def long_enough(spans: Column) -> Column:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        spans = let(spans, lambda s: F.when(F.size(s) == 0, s).otherwise(let(values, lambda v: F.filter(s, lambda x: F.length(F.get(v, x["i"])) >= least))))
-    return spans
+        return F.when(F.size(spans) == 0, spans).otherwise(let(values, lambda v: F.filter(spans, lambda x: F.length(F.get(v, x["i"])) >= least)))
+
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: located(text, pattern, f))
+    return let(spans, long_enough) if least else spans
+
+
+#: Counts of up to 31 are kept in five bits each, twelve in a long.
+BITS, LANES = 5, 12
 
 
 def peak_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any window of a string of at least `window` characters of ALPHABET."""
-    letters = F.lit(ALPHABET)
+    """The highest Shannon entropy, in bits, of any window (of up to 31) of a string of at least `window` characters of ALPHABET."""
+    n_longs = -(-len(ALPHABET) // LANES)
+    weight = [c * math.log2(c) if c else 0.0 for c in range(window + 1)]
+    more = F.array(*(F.lit(b - a) for a, b in zip(weight, weight[1:])))  # what one character more adds to a count's weight
 
-    def code(i: Column) -> Column:
-        return F.position(F.substr(s, i, F.lit(1)), letters)
+    def slide(codes: Column) -> Column:
+        fields = [f"c{k}" for k in range(n_longs)]
 
-    def weigh(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+        def lane(code: Column) -> Column:
+            return F.floor(code / LANES).cast("int")
 
-    head = F.substr(s, F.lit(1), F.lit(window))
-    begin = F.transform(F.sequence(F.lit(1), F.lit(len(ALPHABET))), lambda j: F.lit(window) - F.length(F.replace(head, F.substr(letters, j, F.lit(1)), F.lit(""))))
+        def unit(code: Column) -> Column:
+            return F.call_function("shiftleft", F.lit(1).cast("long"), (code % LANES) * BITS)
 
-    def slide(counts: Column) -> Column:
-        total = F.aggregate(counts, F.lit(0.0), lambda t, c: t + weigh(c))
-        state = F.struct(counts.alias("c"), total.alias("sum"), total.alias("least"))
+        def count(st: Column, code: Column) -> Column:
+            held = F.get(F.array(*(st[f] for f in fields)), lane(code))
+            return F.call_function("shiftright", held, (code % LANES) * BITS).bitwiseAND(F.lit(31)).cast("int")
 
-        def step(st: Column, i: Column) -> Column:
-            def moved(old: Column, new: Column) -> Column:
-                def change(co: Column, cn: Column) -> Column:
-                    now = st["sum"] - weigh(co) + weigh(co - 1) - weigh(cn) + weigh(cn + 1)
-                    now = F.when(old == new, st["sum"]).otherwise(now)
-                    c = F.transform(st["c"], lambda v, j: v - F.when(j + 1 == old, 1).otherwise(0) + F.when(j + 1 == new, 1).otherwise(0))
-                    return F.struct(c.alias("c"), now.alias("sum"), F.least(st["least"], now).alias("least"))
+        def changed(st: Column, code: Column, sign: int) -> list[Column]:
+            return let(F.struct(lane(code).alias("k"), unit(code).alias("u")), lambda p: F.struct(*(F.when(p["k"] == j, st[f] + sign * p["u"]).otherwise(st[f]).alias(f) for j, f in enumerate(fields))))
+
+        def into(st: Column, code: Column) -> Column:
+            """One character comes in."""
+            return let(changed(st, code, 1), lambda c: F.struct(*(c[f].alias(f) for f in fields), (st["sum"] + F.get(more, count(st, code))).alias("sum"), st["least"].alias("least")))
+
+        def out(st: Column, code: Column) -> Column:
+            return let(changed(st, code, -1), lambda c: F.struct(*(c[f].alias(f) for f in fields), (st["sum"] - F.get(more, count(st, code) - 1)).alias("sum"), st["least"].alias("least")))
 
-                return let(F.get(st["c"], old - 1), lambda co: let(F.get(st["c"], new - 1), lambda cn: change(co, cn)))
+        def seen(st: Column) -> Column:
+            return F.struct(*(st[f].alias(f) for f in fields), st["sum"].alias("sum"), F.least(st["least"], st["sum"]).alias("least"))
 
-            return let(code(i - window), lambda old: let(code(i), lambda new: moved(old, new)))
+        def step(st: Column, i: Column) -> Column:
+            def move(old: Column, new: Column) -> Column:
+                return F.when(old == new, st).otherwise(let(out(st, old), lambda a: let(into(a, new), seen)))
+
+            return let(F.get(codes, i - window), lambda old: let(F.get(codes, i), lambda new: move(old, new)))
 
-        walk = F.aggregate(F.sequence(F.lit(window + 1), F.length(s)), state, step, lambda st: st["least"])
-        return F.when(F.length(s) == window, total).otherwise(walk)
+        none = F.struct(*(F.lit(0).cast("long").alias(f) for f in fields), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
+        head = F.aggregate(F.slice(codes, 1, window), none, into, seen)
+        rest = F.when(F.size(codes) > window, F.sequence(F.lit(window), F.size(codes) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(rest, head, step, lambda st: st["least"])
 
-    return F.log2(F.lit(float(window))) - let(begin, slide) / window
+    codes = F.transform(F.split(s, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    return F.log2(F.lit(float(window))) - let(codes, slide) / window
 
 
 def random_strings(text: Column) -> Column:
@@ -102,8 +123,27 @@ def random_strings(text: Column) -> Column:
         mixed = hexed | (value.rlike("[A-Za-z]") & value.rlike("[0-9].*[0-9]"))
         return F.when(fine | ~mixed, F.lit(False)).otherwise(peak_entropy(value) >= limit)
 
-    values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    return let(located(text, CANDIDATE), lambda s: F.when(F.size(s) == 0, s).otherwise(let(values, lambda v: F.filter(s, lambda x: judge(F.get(v, x["i"]))))))
+    def judged(found: Column) -> Column:
+        return F.filter(located(text, CANDIDATE, found), lambda x: judge(F.get(found, x["i"])))
+
+    return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda f: F.when(F.size(f) == 0, F.array().cast(SPANS)).otherwise(judged(f)))
+
+
+def apart(spans: Column, known: Column) -> Column:
+    """Those spans that share no character with any of the known ones (structs with a and z)."""
+
+    def by_start(order: Column) -> Column:
+        # the greatest end of all known spans that start before a span's end tells; they are found by halving
+        ends = running(F.transform(order, lambda s: s["z"]), lambda x, y: F.greatest(x, y))
+        halves = F.array(*(F.lit(1 << k) for k in reversed(range(27))))
+
+        def free(e: Column, top: Column) -> Column:
+            before = F.aggregate(halves, F.lit(0), lambda n, k: F.when((n + k <= F.size(order)) & (F.get(order, n + k - 1)["a"] < e["z"]), n + k).otherwise(n))
+            return F.coalesce(F.get(top, before - 1) <= e["a"], F.lit(True))
+
+        return let(ends, lambda top: F.filter(spans, lambda e: free(e, top)))
+
+    return F.when((F.size(spans) == 0) | (F.size(known) == 0), spans).otherwise(let(F.sort_array(known), by_start))
 
 
 def scan(text: Column) -> Column:
@@ -120,12 +160,12 @@ def scan(text: Column) -> Column:
         base = F.concat(*(tag(b[k], i) for i, k in enumerate(KINDS[:3])))
 
         def more(known: Column) -> Column:
-            extra = F.filter(b["entropy"], lambda e: ~F.exists(known, lambda s: (s["a"] < e["z"]) & (e["a"] < s["z"])))
+            extra = apart(b["entropy"], known)
             return F.struct(*(F.size(b[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]), shown(known).alias("base"), shown(F.concat(known, tag(extra, 3))).alias("spans"))
 
         return let(base, more)
 
-    return let(F.struct(located(text, ASSIGN, 2, 6).alias("assign"), located(text, ACCESS).alias("access"), located(text, HEX).alias("hex"), random_strings(text).alias("entropy")), all_of)
+    return let(F.struct(base_spans(text, ASSIGN, 2, 6).alias("assign"), base_spans(text, ACCESS).alias("access"), base_spans(text, HEX).alias("hex"), random_strings(text).alias("entropy")), all_of)
 
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from brevis.llm import secrets
@@ -53,3 +55,12 @@ def test_shapes(spark):
 def test_odd_rows(spark):
     check(odd_documents(spark))
     assert secrets.secrets(empty_documents(spark)).collect() == []
+
+
+def test_long_texts_take_linear_time(spark):
+    rng = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choices(signs, k=200_000)), "token=abcdefgh1 " * 20_000, "a-" * 100_000 + "1b2", "x" * 200_000, " ".join("".join(rng.choices(signs, k=24)) for _ in range(8_000))]
+    began = time.time()
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert time.time() - began < 120
