@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from brevis.llm import resample as R
@@ -55,6 +57,21 @@ def test_obfuscated_words_are_restored(spark):
         assert word in read(f"you {noisy} there"), noisy
 
 
+def test_words_across_a_cut_are_restored(spark):
+    costs = T.trigram_model(spark.createDataFrame([("the idiot and the clown are pathetic " * 50,)], "text string"))
+    read = T.Reader(costs, longest=12)
+    for lead in range(8):
+        assert any("idiot" in s for s in read.readings("x9" * lead + "1d10t" + "9x" * 6)), lead
+
+
+def test_long_runs_take_linear_time():
+    costs = np.ones((T.SIZE,) * 3)
+    began = time.time()
+    for text in ("a" * 1_000_000, "a " * 500_000, "ab." * 300_000 + "9", "a" + "(" * 1_000_000, "abcdefgh" * 125_000, "a1" * 500_000):
+        T.Reader(costs)(text, {})
+    assert time.time() - began < 30
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 1), (None, 1, 1), (9, None, None), (8, 0, 1)], "doc_id long, quality int, toxic int")
     docs = odd_documents(spark)
