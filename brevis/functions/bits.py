@@ -42,6 +42,13 @@ def pack_bits(bits: Column) -> Column:
     return F.when(F.length(bits) == 0, F.lit("")).otherwise(F.array_join(each, ""))
 
 
+def read_bits(data: Column, at: Column, n: int) -> Column:
+    """The unsigned integer of n bits (up to 56) from bit `at` of a binary column on; bits past its end are zero."""
+    part = F.rpad(F.hex(F.substring(data, F.floor(at / 8).cast("int") + 1, F.lit(8))), 16, "0")
+    bits = F.lpad(F.conv(part, 16, 2), 64, "0")
+    return F.conv(F.substring(bits, (at % 8 + 1).cast("int"), F.lit(n)), 2, 10).cast("long")
+
+
 def latin(text: Column) -> Column:
     """One character for each UTF-8 byte."""
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")

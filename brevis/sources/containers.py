@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,14 +32,14 @@ def status(data: Column, magic: str = MAGIC) -> Column:
     )
 
 
-def _once(data: Column, body) -> Column:
+def once(data: Column, body) -> Column:
     """body(data), with data computed once."""
     return F.transform(F.array(data), body)[0]
 
 
 def unpack_header(data: Column) -> Column:
     """A struct of the fields; null fields where the status isn't 'ok'."""
-    return _once(data, _header_fields)
+    return once(data, _header_fields)
 
 
 def _header_fields(data: Column) -> Column:
@@ -59,12 +62,14 @@ def pack_chunked_header(length: Column, tokens: Column, model: Column, size: Col
     n = F.size(offsets)
     each = lambda a, w: F.array_join(F.transform(a, lambda x: le_hex(x, w)), "")
     whole = F.concat(F.hex(F.lit(CHUNKED_MAGIC)), F.lit(f"{VERSION:02X}"), le_hex(length, 4), le_hex(tokens, 4), le_hex(model, 4), le_hex(n, 2), le_hex(size, 2), le_hex(overlap, 2), F.lit("0000"), each(offsets, 4), each(counts, 2))
-    return F.unhex(F.when(n > 65_535, F.raise_error(F.lit("more than 65,535 chunks"))).otherwise(whole))
+    big = (length >= 1 << 32) | (tokens >= 1 << 32) | (model >= 1 << 32) | (F.coalesce(F.array_max(offsets), F.lit(0)) >= 1 << 32)
+    small = (size >= 1 << 16) | (overlap >= 1 << 16) | (F.coalesce(F.array_max(counts), F.lit(0)) >= 1 << 16)
+    return F.unhex(F.when(n > 65_535, F.raise_error(F.lit("more than 65,535 chunks"))).when(big, F.raise_error(F.lit("a header field exceeds 32 bits"))).when(small, F.raise_error(F.lit("a header field exceeds 16 bits"))).otherwise(whole))
 
 
 def unpack_chunked_header(data: Column) -> Column:
     """A struct of the fields, offsets and counts; null fields where the status isn't 'ok'."""
-    return _once(data, _chunked_fields)
+    return once(data, _chunked_fields)
 
 
 def _chunked_fields(data: Column) -> Column:
@@ -77,3 +82,53 @@ def _chunked_fields(data: Column) -> Column:
 
 def is_chunked(data: Column) -> Column:
     return (F.length(data) >= 4) & (F.hex(F.substring(data, 1, 4)) == CHUNKED_MAGIC.encode().hex().upper())
+
+
+@dataclass
+class Chunked:
+    """What a chunked container's header says."""
+
+    length: int
+    tokens: int
+    size: int
+    overlap: int
+    offsets: list[int]
+    counts: list[int]
+
+
+FIELDS = "<4sBIIIHHH2x"
+
+
+def chunked_container(length: int, tokens: int, model: int, size: int, overlap: int, counts: list[int], payloads: list[bytes]) -> bytes:
+    """A whole chunked container. Fields that don't fit raise."""
+    n = len(payloads)
+    if n > 65_535:
+        raise ValueError("more than 65,535 chunks")
+    offsets, at = [], HEADER_BYTES + ENTRY_BYTES * n
+    for p in payloads:
+        offsets.append(at)
+        at += len(p)
+    if max(length, tokens, at) >= 1 << 32:
+        raise ValueError("a header field exceeds 32 bits")
+    return b"".join([struct.pack(FIELDS, CHUNKED_MAGIC.encode(), VERSION, length, tokens, model, n, size, overlap), struct.pack(f"<{n}I{n}H", *offsets, *counts), *payloads])
+
+
+def parse_chunked(data: bytes, model: int) -> Chunked:
+    """The header of a chunked container, checked."""
+    if len(data) < HEADER_BYTES:
+        raise ValueError("Invalid chunked header")
+    magic, version, length, tokens, own, n, size, overlap = struct.unpack_from(FIELDS, data)
+    if magic != CHUNKED_MAGIC.encode():
+        raise ValueError("not a chunked compressed file")
+    if version > VERSION:
+        raise ValueError("Unsupported chunked format version")
+    if own != model:
+        raise ValueError("the data was made with another model")
+    first = HEADER_BYTES + ENTRY_BYTES * n
+    if len(data) < first:
+        raise ValueError("Invalid chunked header")
+    values = struct.unpack_from(f"<{n}I{n}H", data, HEADER_BYTES)
+    offsets, counts = list(values[:n]), list(values[n:])
+    if any(a > z for a, z in zip([first, *offsets], [*offsets, len(data)])):
+        raise ValueError("Invalid chunked header: offsets don't ascend within the data")
+    return Chunked(length, tokens, size, overlap, offsets, counts)

@@ -1,7 +1,8 @@
 """Byte-level BPE vocabularies: read from tokenizer JSON, or a small built-in one."""
 
-from __future__ import annotations
+import heapq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +16,20 @@ MOST_NESTED = 200
 
 
 class Tokenizer:
-    """Merges by rank, and ids of tokens."""
+    """Merges by rank, and ids of tokens. `added` are tokens beside the model's vocabulary; texts never give them, and decoding skips them."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[str] | list[list[str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[str] | list[list[str]], added: dict[str, int] | None = None):
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.ranks = {p: k for k, p in enumerate(pairs)}  # of equal pairs the last rank holds
         self.merges = sorted(self.ranks, key=self.ranks.get)
-        self.vocab, self.tokens = vocab, {i: t for t, i in vocab.items()}
+        self.vocab, self.tokens, self.added = vocab, {i: t for t, i in vocab.items()}, added or {}
         if missing := [c for c in byte_alphabet() if c not in vocab]:
             raise ValueError(f"{len(missing)} bytes have no token")
 
+    @property
+    def size(self) -> int:
+        return len(self.vocab)
+
     @property
     def ordered(self) -> bool:
         """Whether one pass in rank order gives what repeated lowest-rank merging gives: results are unique, and parts come before their merges."""
@@ -39,53 +44,83 @@ class Tokenizer:
 
     @property
     def native(self) -> bool:
-        return self.ordered and len(self.merges) <= MOST_NESTED
+        return len(self.merges) <= MOST_NESTED and self.ordered
 
     def apply(self, parts: list[str]) -> list[str]:
-        """Merges the lowest-ranked neighbouring pair everywhere, until none is left."""
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: self.ranks.get(p, len(self.ranks)))
-            if best not in self.ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if tuple(parts[i : i + 2]) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        """Merges the lowest-ranked neighbouring pair everywhere, left to right, until none is left.
+
+        The pairs wait in a heap by rank and place, and the parts are a linked list, so a text takes n log n steps. Within a
+        round of one rank only pairs that stood at its beginning are merged; those that it makes come in a later round.
+        """
+        n, ranks, alive = len(parts), self.ranks, list(parts)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, due = heap[0][0], []
+            while heap and heap[0][0] == rank:
+                due.append(heapq.heappop(heap))
+            made = []
+            for _, i, a, b in due:
+                j = after[i]
+                if j < 0 or alive[i] != a or alive[j] != b:
+                    continue
+                alive[i], alive[j], after[i] = a + b, None, after[j]
+                if after[j] >= 0:
+                    before[after[j]] = i
+                made.append(i)
+            for i in made:
+                for x in (before[i], i):
+                    if alive[i] is not None and x >= 0 and (y := after[x]) >= 0 and (r := ranks.get((alive[x], alive[y]))) is not None:
+                        heapq.heappush(heap, (r, x, alive[x], alive[y]))
+        return [t for t in alive if t is not None]
+
+    def encode(self, chars: str) -> list[int]:
+        """Ids of characters of the byte alphabet; a token that isn't in the vocabulary gives the ids of its characters."""
+        out = []
+        for t in self.apply(list(chars)):
+            i = self.vocab.get(t)
+            out += [i] if i is not None else [self.vocab[c] for c in t if c in self.vocab]
+        return out
 
     def pieces(self, text: Column) -> Column:
         """The tokens of a text as an array of strings; none for empty texts."""
         if not self.native:
-            apply = self.apply
-
-            @F.pandas_udf("array<string>")
-            def merged(chars):
-                import pandas as pd
-
-                return pd.Series([None if c is None else apply(list(c)) for c in chars])
-
-            return merged(encode_bytes(text))
+            return self._by_batch(lambda c: self.apply(list(c)), "array<string>")(encode_bytes(text))
         marked = F.regexp_replace(encode_bytes(text), "(?s)(.)", f"{OPEN}$1{CLOSE}")
         for a, b in self.merges:
             marked = F.replace(marked, F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"), F.lit(f"{OPEN}{a}{b}{CLOSE}"))
         return F.array_remove(F.split(F.translate(marked, OPEN, ""), CLOSE), "")
 
+    @staticmethod
+    def _by_batch(one, kind: str):
+        @F.pandas_udf(kind)
+        def run(values: pd.Series) -> pd.Series:
+            return pd.Series([None if v is None else one(v) for v in values])
+
+        return run
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted(self.vocab.items(), key=lambda x: x[1]), "token string, id int")
 
+    def look_up(self, rows: DataFrame) -> DataFrame:
+        """Rows with `id`, or with `token`, and the other one of the two; null where the vocabulary has none."""
+        on = "id" if "id" in rows.columns else "token"
+        return rows.join(F.broadcast(self.table(rows.sparkSession)), on, "left")
+
     def ids(self, text: Column) -> Column:
         """Token ids; a token that isn't in the vocabulary gives the ids of its characters."""
+        if not self.native:
+            return self._by_batch(self.encode, "array<int>")(encode_bytes(text))
         known = F.create_map(*(F.lit(x) for t, i in self.vocab.items() for x in (t, i)))
         one = lambda t: F.when(F.map_contains_key(known, t), F.array(F.try_element_at(known, t))).otherwise(F.filter(F.transform(F.split(t, ""), lambda c: F.try_element_at(known, c)), lambda i: i.isNotNull()))
         return F.flatten(F.transform(self.pieces(text), one))
 
     def text(self, ids: Column) -> Column:
         """The text of token ids; unknown ids are skipped."""
+        if not self.native:
+            tokens = self.tokens
+            return decode_bytes(self._by_batch(lambda v: "".join(tokens.get(i, "") for i in v), "string")(ids))
         known = F.create_map(*(F.lit(x) for i, t in self.tokens.items() for x in (i, t)))
         return decode_bytes(F.array_join(F.filter(F.transform(ids, lambda i: F.try_element_at(known, i)), lambda t: t.isNotNull()), ""))
 
@@ -97,8 +132,8 @@ def small() -> Tokenizer:
 
 
 def load(spark: SparkSession, path: str) -> Tokenizer:
-    """A tokenizer JSON (model.vocab and model.merges) from any store that Spark reads. One file of bounded size."""
+    """A tokenizer JSON (model.vocab, model.merges, added_tokens) from any store that Spark reads. One file of bounded size."""
     import json
 
-    model = json.loads(spark.read.text(path, wholetext=True).first().value)["model"]
-    return Tokenizer(model["vocab"], model["merges"])
+    whole = json.loads(spark.read.text(path, wholetext=True).first().value)
+    return Tokenizer(whole["model"]["vocab"], whole["model"]["merges"], {t["content"]: t["id"] for t in whole.get("added_tokens") or []})
