@@ -11,6 +11,8 @@ from ..functions.bits import byte_alphabet, decode_bytes, encode_bytes
 #: A small vocabulary's merges, by rank.
 MERGES = ["Ġ t", "h e", "i n", "r e", "o n", "e r", "Ġt he", "a n", "Ġ a", "n d", "e n", "i e", "t i", "o u", "s t", "Ġ o", "Ġo f", "in g", "e s", "ti on"]
 OPEN, CLOSE = "\x01", "\x02"
+#: Runs that a worker remembers, and their characters at most.
+KEPT, LONGEST_KEPT = 200_000, 64
 #: Beyond so many merges nested expressions grow too deep, and the Arrow form is used.
 MOST_NESTED = 200
 
@@ -23,6 +25,9 @@ class Tokenizer:
         self.ranks = {p: k for k, p in enumerate(pairs)}  # of equal pairs the last rank holds
         self.merges = sorted(self.ranks, key=self.ranks.get)
         self.vocab, self.tokens, self.added = vocab, {i: t for t, i in vocab.items()}, added or {}
+        #: The last and the first character of all pairs that merge: nothing merges across any other pair of characters.
+        self.joints = {(a[-1], b[0]) for a, b in self.ranks}
+        self.known: dict[str, list[str]] = {}
         if missing := [c for c in byte_alphabet() if c not in vocab]:
             raise ValueError(f"{len(missing)} bytes have no token")
 
@@ -75,10 +80,25 @@ class Tokenizer:
                         heapq.heappush(heap, (r, x, alive[x], alive[y]))
         return [t for t in alive if t is not None]
 
+    def split(self, chars: str) -> list[str]:
+        """The tokens of characters of the byte alphabet: runs that no merge can leave are merged once each and kept, in bounded memory."""
+        joints, known, out, begin = self.joints, self.known, [], 0
+        for end in [*(i for i, p in enumerate(zip(chars, chars[1:]), 1) if p not in joints), len(chars)]:
+            run = chars[begin:end]
+            if (got := known.get(run)) is None:
+                if len(known) >= KEPT:
+                    known.clear()
+                got = self.apply(list(run))
+                if len(run) <= LONGEST_KEPT:
+                    known[run] = got
+            out += got
+            begin = end
+        return out
+
     def encode(self, chars: str) -> list[int]:
         """Ids of characters of the byte alphabet; a token that isn't in the vocabulary gives the ids of its characters."""
         out = []
-        for t in self.apply(list(chars)):
+        for t in self.split(chars):
             i = self.vocab.get(t)
             out += [i] if i is not None else [self.vocab[c] for c in t if c in self.vocab]
         return out
@@ -86,7 +106,7 @@ class Tokenizer:
     def pieces(self, text: Column) -> Column:
         """The tokens of a text as an array of strings; none for empty texts."""
         if not self.native:
-            return self._by_batch(lambda c: self.apply(list(c)), "array<string>")(encode_bytes(text))
+            return self._by_batch(self.split, "array<string>")(encode_bytes(text))
         marked = F.regexp_replace(encode_bytes(text), "(?s)(.)", f"{OPEN}$1{CLOSE}")
         for a, b in self.merges:
             marked = F.replace(marked, F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"), F.lit(f"{OPEN}{a}{b}{CLOSE}"))
