@@ -25,9 +25,9 @@ from .common import cut, fresh_dir
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BUCKET = 192
-SAMPLE = 16_384
-SHARD = 16_384
-SHARDS = 4_096
+#: Fingerprints that a shard should hold, and the sampled ones for each shard that shape the dealing tree. A tree has MOST_SHARDS
+#: at most, so its sample is bounded; a shard that gets over OVERSIZE times its share is dealt again by a tree of its own.
+SHARD, SAMPLE, MOST_SHARDS, OVERSIZE = 4_096, 64, 16_384, 4
 #: Two texts of similarity 0.8 share one of BANDS bands of ROWS minima with a chance of 0.998.
 SIMILARITY, BANDS, ROWS = 0.8, 16, 5
 #: Comparisons with one text that a task gets at a time.
@@ -109,9 +109,10 @@ def grow(sample: np.ndarray, leaves: int) -> list[tuple[int, int]]:
     return nodes
 
 
-def deal(points: np.ndarray, nodes: list[tuple[int, int]], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the point, leaf, whether it lives there) for every leaf that a point belongs to or is queried in."""
-    which, node, home = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool)
+def deal(points: np.ndarray, nodes: list[tuple[int, int]], reach: int, lives: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the point, leaf, whether it lives there) for every leaf that a point belongs to or is queried in. `lives`: which
+    points live in what is dealt, where some are guests."""
+    which, node, home = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool) if lives is None else lives
     if not nodes:
         return which, node, home
     vantage, radius = np.array([v for v, _ in nodes], np.uint64), np.array([r for _, r in nodes], np.int64)
@@ -178,26 +179,72 @@ def spanning(points: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.ndarr
     return linked, top[linked]
 
 
-def links(points: DataFrame, reach: int = 2) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fp` that span the components of all pairs at most `reach` bits apart.
+def sampled(points: DataFrame, total: int, wanted: int) -> np.ndarray:
+    """About `wanted` of the `total` fingerprints, chosen by their hash, ascending."""
+    share = max(1, total // wanted)
+    taken = points.filter(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).limit(4 * wanted).toArrow()
+    return np.unique(taken.column(0).to_numpy().astype("<i8").view("<u8"))
 
-    The sample for the dealing tree holds about SAMPLE fingerprints, chosen by their hash; it shapes shards, not results.
-    """
-    total = points.count()
+
+def fitted(total: int, sample) -> list[tuple[int, int]]:
+    """The inner nodes of a tree for so many fingerprints; sample(n) gives about n of them."""
     leaves = 1
-    while leaves < SHARDS and total / leaves > SHARD:
+    while leaves < MOST_SHARDS and total / leaves > SHARD:
         leaves *= 2
-    nodes: list[tuple[int, int]] = []
-    if leaves > 1:
-        share = max(1, total // SAMPLE)
-        taken = points.filter(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).limit(4 * SAMPLE).toArrow()
-        nodes = grow(np.sort(taken.column(0).to_numpy().astype("<i8").view("<u8")), leaves)
+    return grow(sample(SAMPLE * leaves), leaves) if leaves > 1 else []
 
-    def send(batches):
-        for b in batches:
-            got = b.column(0).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
-            which, leaf, home = deal(got, nodes, reach)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(got[which].view("<i8"), pa.int64()), pa.array(home)], ["leaf", "fp", "home"])
+
+def dealt(points: DataFrame, reach: int) -> DataFrame:
+    """(leaf, fp, home): each point in the shard where it lives and in those in which it is queried.
+
+    A shard that holds too much is dealt again by a tree fitted on its own points, until none does or no tree divides it.
+    Guests that may come near what lives beyond its boundary are dealt with it, so no pair is lost.
+    """
+    total = points.count()
+    trees = {0: (1, fitted(total, lambda n: sampled(points.select("fp"), total, n)))}  # of a leaf: the number of its first part, and its tree
+    now = points.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("home"))
+    last, sizes = 0, {0: total}
+    for _ in range(8):
+        held = {k: (first, nodes) for k, (first, nodes) in trees.items() if nodes}
+        if not held:
+            return now
+        last = max(first + len(nodes) for first, nodes in held.values())
+
+        def send(batches, held=held):
+            for b in batches:
+                leaf, fp, home = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                out = [[], [], []]
+                for k in np.unique(leaf):
+                    own = leaf == k
+                    if int(k) not in held:
+                        parts = leaf[own], fp[own], home[own]
+                    else:
+                        first, nodes = held[int(k)]
+                        which, part, lives = deal(fp[own].astype("<i8").view("<u8"), nodes, reach, home[own].astype(bool))
+                        parts = first + part, fp[own][which], lives
+                    for x, y in zip(out, parts, strict=True):
+                        x.append(y)
+                cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(bool))], ["leaf", "fp", "home"])
+
+        now = cut(now.mapInArrow(send, "leaf long, fp long, home boolean"))
+        # a row for each shard that is too large, not for each point
+        big = [r for r in now.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > OVERSIZE * SHARD).collect() if r.n < 0.9 * sizes.get(r.leaf, 1 << 62)]
+        trees, first = {}, last + 1
+        for r in big:
+            own = now.filter(F.col("leaf") == r.leaf).select("fp")
+            nodes = fitted(r.n, lambda n, own=own, r=r: sampled(own, r.n, n))
+            trees[r.leaf] = first, nodes
+            sizes |= {first + k: r.n for k in range(len(nodes) + 1)}  # what doesn't become smaller isn't dealt again
+            first += len(nodes) + 1
+    return now
+
+
+def links(points: DataFrame, reach: int = 2) -> DataFrame:
+    """Links (a, b) between distinct fingerprints `fp` that span the components of all pairs at most `reach` bits apart.
+
+    Samples shape shards, not results.
+    """
 
     def search(t: pa.Table) -> pa.Table:
         got = t.column("fp").to_numpy().astype("<i8").view("<u8")
@@ -207,8 +254,7 @@ def links(points: DataFrame, reach: int = 2) -> DataFrame:
         a, b = spanning(got, home, reach)
         return pa.table({"a": pa.array(got[a].view("<i8"), pa.int64()), "b": pa.array(got[b].view("<i8"), pa.int64())})
 
-    dealt = points.select("fp").mapInArrow(send, "leaf long, fp long, home boolean")
-    return dealt.groupBy("leaf").applyInArrow(search, "a long, b long")
+    return dealt(points, reach).groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -216,15 +262,16 @@ def contract(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: each node's greater neighbours are linked to its least one, then each node's
     lesser ones. Every round is read back from the shared folder. Stars of a hot centre are summed up before the shuffle,
-    because only the least neighbour of a node is gathered.
+    because only the least neighbour of a node is gathered; they are joined by a second hash as well, so both sides are dealt
+    for the join itself and adaptive execution may split a hot centre's partition.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("g", F.hash("a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.hash("a").alias("g"), F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, ["a", "g"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct().withColumn("g", F.hash("a"))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumn("g", F.hash("a"))
+        small = large.join(low, ["a", "g"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = cut(small.filter("a != b").distinct())
         stars = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         before = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
@@ -275,55 +322,58 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
 def components(points: DataFrame, docs: DataFrame, near: DataFrame, shingle: int, least: float) -> DataFrame:
     """(node, root) of points that are linked: by `near` (a, b), or as their texts share a band and are similar.
 
-    points: fp, and first with doc_id, k_text and bands of a row. In each bucket of equal bands the least point is compared
-    with all others, not each with each. What is connected by then needs no further comparison. In a bucket that still holds
-    several components, points outside its largest one are compared with those of other components: one of each component,
-    then four, sixteen, until all had their turn. So each pair of a bucket is compared or connected.
+    points: node, the hash of a text, and bands. In each bucket of equal bands the least point is compared with all others,
+    not each with each. What is connected by then needs no further comparison. In a bucket that still holds several
+    components, points outside its largest one are compared with those of other components: one of each component, then
+    four, sixteen, until all had their turn. So each pair of a bucket is compared or connected.
     """
     spark = points.sparkSession
-    keyed = points.select("fp", F.posexplode("first.bands").alias("band", "v")).select("fp", F.xxhash64("band", "v").alias("key")).withColumn("g", F.hash("key"))
-    often = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a")).filter("n > 1").withColumn("g", F.hash("key"))
-    members = cut(keyed.join(often, ["key", "g"]).select("key", "g", "fp", "a", "n"))
-    wanted = points.join(members.select("fp").distinct(), "fp", "left_semi").select(F.col("fp").alias("node"), F.col("first.doc_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
+    keyed = points.select("node", F.posexplode("bands").alias("band", "v")).select("node", F.xxhash64("band", "v").alias("key")).withColumn("g", F.hash("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1").withColumn("g", F.hash("key"))
+    members = cut(keyed.join(often, ["key", "g"]).select("key", "g", "node", "a", "n"))
     path = fresh_dir(spark, "texts")
-    rows.join(wanted, rows.k_id.eqNullSafe(wanted.f_id) & (rows.k_text == wanted.f_text)).select("node", "text").dropDuplicates(["node"]).write.parquet(path)
+    rows = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
+    rows.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     texts = spark.read.parquet(path)
 
     def linked(pairs: DataFrame) -> DataFrame:
         each = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n"))
         return alike(each, texts, shingle, least)
 
-    found = cut(near.union(linked(members.filter("fp != a").select("a", F.col("fp").alias("b"), "n"))))
-    members, share = members.select("key", "g", "fp", (F.col("fp") == F.col("a")).alias("tried")), 1
+    found = cut(near.union(linked(members.filter("node != a").select("a", F.col("node").alias("b"), "n"))))
+    members, share = members.select("key", "g", "node", (F.col("node") == F.col("a")).alias("tried")), 1
     while True:
         roots = contract(found)
-        now = cut(members.join(roots, members.fp == roots.node, "left").select("key", "g", "fp", "tried", F.coalesce("root", "fp").alias("root")))
+        now = cut(members.join(roots, "node", "left").select("key", "g", "node", "tried", F.coalesce("root", "node").alias("root")))
         held = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"))
         still = held.filter("k > 1").select("key", F.hash("key").alias("g"), "main", "n")
         rest = now.filter("not tried").join(still, ["key", "g"]).filter("root != main")
-        turn = Window.partitionBy("key", "root").orderBy("fp")
-        centers = cut(rest.withColumn("i", F.row_number().over(turn)).filter(F.col("i") <= share).select("key", "g", F.col("fp").alias("a"), F.col("root").alias("a_root"), "n"))
+        turn = Window.partitionBy("key", "root").orderBy("node")
+        centers = cut(rest.withColumn("i", F.row_number().over(turn)).filter(F.col("i") <= share).select("key", "g", F.col("node").alias("a"), F.col("root").alias("a_root"), "n"))
         if centers.isEmpty():
             return roots
-        pairs = now.filter("not tried").join(centers, ["key", "g"]).filter("root != a_root").select("a", F.col("fp").alias("b"), "n")
+        pairs = now.filter("not tried").join(centers, ["key", "g"]).filter("root != a_root").select("a", F.col("node").alias("b"), "n")
         found = cut(found.union(linked(pairs)))
-        done = centers.select("key", "g", F.col("a").alias("fp"), F.lit(True).alias("done"))
-        members = now.join(done, ["key", "g", "fp"], "left").select("key", "g", "fp", (F.col("tried") | F.col("done").isNotNull()).alias("tried"))
+        done = centers.select("key", "g", F.col("a").alias("node"), F.lit(True).alias("done"))
+        members = now.join(done, ["key", "g", "node"], "left").select("key", "g", "node", (F.col("tried") | F.col("done").isNotNull()).alias("tried"))
         share *= 4
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, reach: int = 3, least: float = SIMILARITY) -> DataFrame:
     """The row with the least doc_id of each component, in its own columns; of rows that share doc_id and text, one.
 
-    Links are fingerprints of five-word shingles within three bits, by the tree, and texts whose sets of such shingles have a
-    Jaccard similarity of `least` or more. Texts without a word are one component. Rows without doc_id are kept only if no
-    row of their component has one.
+    Links are fingerprints of five-word shingles within three bits, by the tree, equal ones included, and texts whose sets of
+    such shingles have a Jaccard similarity of `least` or more. Texts without a word are one component. Rows without doc_id
+    are kept only if no row of their component has one.
     """
     rows = cut(fingerprints(docs, shingle, bands=BANDS))
-    points = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_text", "bands")).alias("first")))
-    found = components(points, docs, links(points.select("fp"), reach), shingle, least)
-    grouped = points.join(found, points.fp == found.node, "left").select(F.coalesce("root", "fp").alias("root"), F.struct("first.none", "first.doc_id", "first.k_text").alias("first"))
+    points = cut(rows.groupBy(F.col("k_text").alias("node"), "fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.first("bands").alias("bands")))
+    ends = cut(points.groupBy("fp").agg(F.min("node").alias("end")))
+    equal = points.withColumn("g", F.hash("fp")).join(ends.withColumn("g", F.hash("fp")), ["fp", "g"]).filter("node != end").select(F.col("node").alias("a"), F.col("end").alias("b"))
+    ball = links(ends.select("fp"), reach)
+    ball = ball.join(ends.withColumnsRenamed({"fp": "a", "end": "x"}), "a").join(ends.withColumnsRenamed({"fp": "b", "end": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(points.select("node", "bands"), docs, equal.union(ball), shingle, least)
+    grouped = points.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("first.none", "first.doc_id", F.col("node").alias("k_text")).alias("first"))
     first = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"))
     kept = rows.join(first, rows.k_id.eqNullSafe(first.f_id) & (rows.k_text == first.f_text), "left_semi")

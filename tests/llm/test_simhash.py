@@ -99,6 +99,46 @@ def test_guests_of_a_shard_are_searched(spark):
     assert len({x for pair in linked for x in pair}) >= 1400
 
 
+def test_oversized_shards_are_dealt_again(spark, monkeypatch):
+    """A close group that no sample of the whole shows: its shard is divided by a tree of its own, and no link is lost."""
+    monkeypatch.setattr(S, "SHARD", 100)
+    monkeypatch.setattr(S, "SAMPLE", 2)
+    monkeypatch.setattr(S, "MOST_SHARDS", 4)
+    monkeypatch.setattr(S, "OVERSIZE", 2)
+    rng = random.Random(8)
+    center = rng.getrandbits(64)
+    fps = {rng.getrandbits(64) for _ in range(600)}
+    for _ in range(1500):
+        f = center
+        for _ in range(rng.randrange(1, 14)):
+            f ^= 1 << rng.randrange(64)
+        fps.add(f)
+    fps = sorted(fps)
+    points = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").cache()
+    shards = S.dealt(points, 2)
+    assert shards.filter("home").count() == len(fps)
+    assert shards.select("leaf").distinct().count() > 4
+    root = {r.node: r.root for r in S.contract(S.links(points)).collect()}
+    groups, truth = {}, {}
+    want = components(fps)
+    for f in fps:
+        s = f - (1 << 64) if f >> 63 else f
+        groups.setdefault(root.get(s, s), set()).add(f)
+        truth.setdefault(want[f], set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, truth.values()))
+
+
+def test_other_texts_of_an_equal_fingerprint_are_compared(spark, monkeypatch):
+    """Two texts of one fingerprint; a third is similar to the greater of them alone."""
+    base = [f"w{i}" for i in range(100)]
+    near = ["n0", *base[1:]]
+    rows = [(1, " ".join(["other", *(f"v{i}" for i in range(80))])), (2, " ".join(base)), (3, " ".join(near))]
+    majority = S.majority
+    monkeypatch.setattr(S, "majority", lambda h: 7 if len(h) in (77, 96) and not (h == S.shingle_hashes(rows[2][1], 5)[0]).any() else majority(h) ^ 0xFFFFFFFF)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in S.keep_one(docs).collect()} == {1}
+
+
 def shingle_set(text, k=5):
     w = text.lower().split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
