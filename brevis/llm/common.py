@@ -53,6 +53,12 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -68,5 +74,14 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def publish(store, draft: str, name: str) -> None:
+    """Gives a complete draft its name. What an attempt that died has left there goes; attempts write the same."""
+    from pyarrow.fs import FileType
+
+    if store.get_file_info(name).type != FileType.NotFound:
+        store.delete_file(name)
+    store.move(draft, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

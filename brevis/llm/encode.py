@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -13,6 +14,19 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _BLANK = str.maketrans("\n\t\r", "   ")
 
 
+# The normalizer and pre-tokenizer under which a text's ids are those of its words.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -23,14 +37,19 @@ def byte_chars() -> list[str]:
 class WordEncoder:
     """Encodes texts to packed little-endian ids.
 
-    The vocabulary's pre-tokenizer never joins text across a blank, tab or line end, and its normalizer composes nothing
+    Under the normalizer and pre-tokenizer BY_WORDS no text is joined across a blank, tab or line end, and nothing is composed
     across one, so the ids of a text are those of its words in turn. Each word is encoded by the library once and kept in
-    one of two generations of at most `keep` words, so memory stays bounded on any input.
+    one of two generations of at most `keep` words, so memory stays bounded on any input. A vocabulary with others, or with
+    added tokens that hold white space or are normalized, gets whole texts, as the library takes them.
     """
 
     def __init__(self, path: str, width: int, keep: int = 250_000):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        plain = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) for t in config.get("added_tokens") or [])
+        self.by_words = plain and all(config.get(k) == v for k, v in BY_WORDS.items())
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype(f"<u{width}")
@@ -66,6 +85,8 @@ class WordEncoder:
         """The ids of a whole text; none for null."""
         if not text:
             return b""
+        if not self.by_words:
+            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.new) > self.keep:
             self.old, self.new = self.new, {"": b""}
         words = text.translate(_BLANK).split(" ") if len(text) < 200 else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")

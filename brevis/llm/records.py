@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, open_store
+from .common import fresh_dir, open_store, publish
 from .encode import encoder
 
 MAGIC = b"BREVTOK1"
@@ -63,8 +63,8 @@ def unframe(stream, most: int = 1 << 40):
 def write_shards(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, width: int = 2, doc_id: str = "doc_id", text: str = "text") -> list:
     """Encodes every whole text (null: empty), appends end_id and writes shards under the URI out, in ascending doc_id order.
 
-    Rows are dealt by ranges of doc_id (null first) and sorted within; rows with equal doc_id keep the order of their
-    texts. Each task writes to names of its own attempt and renames both files when they are complete, so a repeated or
+    Rows are dealt by ranges of doc_id (null first) and sorted within. Rows with equal doc_id are dealt on by a hash of their
+    texts, and equal rows by their place, so that no id or row is one task's work however often it occurs. Each task writes to names of its own attempt and renames both files when they are complete, so a repeated or
     speculative attempt leaves one whole shard. Returns the manifest: a row for each shard, in shard order.
     """
 
@@ -94,14 +94,15 @@ def write_shards(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, wi
             with fs.open_output_stream(drafts[1], compression=None) as index:
                 index.write(body + struct.pack(CRC, masked(body)))
             for a, b in zip(drafts, names, strict=True):
-                fs.move(a, b)
+                publish(fs, a, b)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(entries)], "n_tokens": [tokens], "data": [names[0]], "offsets": [names[1]]})
         else:
             fs.delete_file(drafts[0])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(ranged.mapInArrow(run, MANIFEST).collect(), key=lambda x: x.shard)
+    order = ["doc_id", "h", "m"]
+    ranged = rows.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted(ranged.select("doc_id", "text").mapInArrow(run, MANIFEST).collect(), key=lambda x: x.shard)
 
 
 def read_index(fs, path: str) -> list[tuple]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir
+from .common import cut, drop_dir, fresh_dir
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BUCKET = 192
@@ -351,6 +351,7 @@ def components(points: DataFrame, docs: DataFrame, near: DataFrame, shingle: int
         turn = Window.partitionBy("key", "root").orderBy("node")
         centers = cut(rest.withColumn("i", F.row_number().over(turn)).filter(F.col("i") <= share).select("key", "g", F.col("node").alias("a"), F.col("root").alias("a_root"), "n"))
         if centers.isEmpty():
+            drop_dir(spark, path)  # the roots are read back from a store of their own
             return roots
         pairs = now.filter("not tried").join(centers, ["key", "g"]).filter("root != a_root").select("a", F.col("node").alias("b"), "n")
         found = cut(found.union(linked(pairs)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, open_store
+from .common import cut, fresh_dir, open_store, publish
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 LEAST_BYTES = 100
@@ -30,18 +30,22 @@ class BadArchive(ValueError):
     """An archive that isn't as the format says."""
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """A record's name, which a revisit can tell of the record that it refers to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
 def record(page_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record."""
     block = HTTP + payload if kind == "response" else HTTP
     clean = "".join(c if c.isprintable() and c != " " else f"%{ord(c):02X}" for c in url or "urn:none")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{clean}\n{digest}")
     head = {
-        "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Target-URI": clean,
+        "WARC-Type": kind, "WARC-Record-ID": record_id(page_id, digest), "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Target-URI": clean,
         "Content-Type": "application/http;msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
         "X-Payload-Length": len(payload), "X-Page-Id": "" if page_id is None else page_id,
     }
     if kind == "revisit":
-        head |= {"WARC-Profile": PROFILE, "X-Refers-To-Page": refers_to}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page": refers_to}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
@@ -68,8 +72,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return head, block
 
 
-def frames(stream, chunk: int = 1 << 20):
-    """The records of an archive: first the leading skippable frame's dictionary is loaded, then each frame decoded."""
+def frames(stream, chunk: int = 1 << 20, most: int = 1 << 31):
+    """The records of an archive: first the leading skippable frame's dictionary is loaded, then each frame decoded. One of over
+    `most` bytes is refused before it takes more memory."""
     import zstandard as zstd
 
     data = stream.read(8)
@@ -86,12 +91,15 @@ def frames(stream, chunk: int = 1 << 20):
     while True:
         if not data and not (data := stream.read(chunk)):
             return
-        one, parts = unpack.decompressobj(read_across_frames=False), []
+        one, parts, size = unpack.decompressobj(read_across_frames=False), [], 0
         while True:
             try:
                 parts.append(one.decompress(data))
             except zstd.ZstdError as e:
                 raise BadArchive(f"a frame can't be decoded: {e}") from e
+            size += len(parts[-1])
+            if size > most:
+                raise BadArchive(f"a frame of over {most} bytes")
             if one.eof:
                 data = one.unused_data
                 break
@@ -158,7 +166,7 @@ def write_archives(pages: DataFrame, out: str, dictionary: bytes = b"", level: i
                     f.write(packer.compress(record(i, url, "response" if refers is None else "revisit", html.encode(), digest, refers)))
                     n += 1
         if n:
-            fs.move(draft, path)
+            publish(fs, draft, path)
             yield pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([n], pa.int64())})
         else:
             fs.delete_file(draft)

@@ -97,3 +97,44 @@ def test_packing(spark, tokenizer, kind):
     for rows in windows.values():
         totals[rows[0].step_id] += rows[0].sequence_tokens
     assert not got or max(totals.values()) <= 2 * (1 << 16)
+
+
+def test_other_vocabularies_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    code, own = WordEncoder(path, 4), Tokenizer.from_file(path)
+    assert not code.by_words and WordEncoder(vocabulary(), 4).by_words
+    for t in ("It's  two blanks\n\tand a tab", "Ünïcode 世界 🌍", "a <|endoftext|> b"):
+        assert np.frombuffer(code.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_a_hot_id_is_many_tasks_work(spark, tokenizer):
+    docs = spark.createDataFrame([(None, f"text {i % 40}") for i in range(400)] + [(7, "same")] * 300 + [(1, "one")], "doc_id long, text string")
+    got = sorted(records.token_records(spark, docs, vocabulary()).collect(), key=lambda r: r.start)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in got]
+    assert ids == [None] * 400 + [1] + [7] * 300
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few rows are one task's
+    try:
+        manifest = records.write_shards(docs, f"{spark.sparkContext.getCheckpointDir()}/hot", vocabulary())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(m.n_docs for m in manifest) < 400
+
+
+def test_windows_against_the_best_fill(spark):
+    """No packer can use fewer windows than the tokens fill, nor cut fewer than their ends force: one cut a window at most."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
+    got = packing.pack(docs, vocabulary()).collect()
+    sizes = {r.sequence_id: r.sequence_tokens for r in got}
+    total = sum({(r.doc_id): r.doc_tokens for r in got}.values())
+    assert sum(sizes.values()) == total
+    tiers = packing.TIERS
+    assert sum(v not in tiers for v in sizes.values()) <= 12  # the powers of two of the rest
+    # as if each document went to the shortest tier that holds it, without a gap
+    least = sum(-(-r // tiers[-1]) for r in {r.doc_id: r.doc_tokens for r in got}.values()) - docs.count()
+    assert len(got) - docs.count() <= len(sizes) + least

@@ -53,3 +53,11 @@ def test_dictionary_comes_first():
         with pytest.raises(W.BadArchive):
             list(W.frames(io.BytesIO(data[:-3])))
     assert list(W.frames(io.BytesIO(zstandard.compress(b"plain")))) == [b"plain"] and list(W.frames(io.BytesIO(b""))) == []
+
+
+def test_revisits_name_their_record():
+    digest = hashlib.sha256(b"x" * 200).hexdigest()
+    first, again = (W.parse(W.record(i, "http://a", kind, b"x" * 200, digest, to))[0] for i, kind, to in ((3, "response", None), (8, "revisit", 3)))
+    assert again["warc-refers-to"] == first["warc-record-id"] != again["warc-record-id"]
+    with pytest.raises(W.BadArchive, match="over 1000"):
+        list(W.frames(io.BytesIO(zstandard.compress(bytes(5000))), most=1000))
