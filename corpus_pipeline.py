@@ -1,6 +1,13 @@
 """A corpus from raw documents to packed windows, stage by stage.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of
+documents, whatever further ones there are.
+
+Null and empty texts have under 20 words, so the quality rules reject them; a text that line dedup empties stays as an empty
+row until near dedup, where texts without a word are one group. Rows without doc_id and rows that share one are rows of their
+own: near dedup keeps the row with the least doc_id (one without only where its group has no other) and, of equal rows, one;
+decontamination goes by the row's text, not by its doc_id alone. Ties in line dedup go by (doc_id, hash of the text, place).
+Very long texts are worked on whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -8,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brevis.llm import decontaminate, linededup, packing, rules, simhash
-from brevis.llm.common import table
+from brevis.llm.common import drop_dir, fresh_dir, table
 from brevis.llm.queries import vocabulary
 
 
@@ -44,14 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents. Each stage's rows are written in the shared folder and read again."""
-    from brevis.llm.common import fresh_dir
-
-    docs = table(spark, sf_dir, "documents")
+    """All stages applied to documents. Each stage's rows are written in the shared folder and read again; what no later stage
+    reads goes."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         path = fresh_dir(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            drop_dir(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
