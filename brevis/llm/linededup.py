@@ -78,7 +78,7 @@ def runs(n: Column, least_words: int) -> Column:
 
 
 def keyed(text: Column, least_words: int) -> Column:
-    """The runs of a text with the hashes of their lines: an array of structs of at and h."""
+    """at, the runs of a text, and h, the hashes of their lines: two arrays, as one of structs takes three times the room."""
     span = least_words + 1
 
     def key(h: Column):
@@ -87,13 +87,13 @@ def keyed(text: Column, least_words: int) -> Column:
                 rest = (F.when(F.lit(k) <= r % span, F.get(h, first + k)) for k in range(1, span))
                 return F.when(r % span == 0, F.xxhash64(F.get(h, first))).otherwise(F.xxhash64(F.get(h, first), *rest))
 
-            return F.struct(r.alias("at"), let(F.floor(r / span).cast("int"), lines_of).alias("h"))
+            return let(F.floor(r / span).cast("int"), lines_of)
 
         return of
 
     def of(units: Column, by_class: Column) -> Column:
         hashed, n = F.transform(units, lambda x: F.xxhash64(x)), F.transform(units, lambda x: n_words(x, by_class))
-        return let(hashed, lambda h: F.transform(let(n, lambda w: runs(w, least_words)), key(h)))
+        return let(let(n, lambda w: runs(w, least_words)), lambda at: F.struct(at.alias("at"), let(hashed, lambda h: F.transform(at, key(h))).alias("h")))
 
     trimmed = F.transform(lines(text), lambda x: F.btrim(x, F.lit(SPACE_CHARS)))
     return let(odd(text), lambda o: let(trimmed, lambda u: of(u, o)))
@@ -107,12 +107,12 @@ def removed_runs(rows: DataFrame, least_words: int) -> DataFrame:
     sides are dealt for the join itself and adaptive execution may split the partition of a key that a third of all rows hold.
     """
     some = rows.filter(F.btrim("text", F.lit(SPACE_CHARS)) != "")
-    found = cut(once(some, "r", keyed(F.col("text"), least_words)).select("k_id", "k_text", "r"))
-    each = found.select("k_id", "k_text", F.explode("r").alias("r")).select("k_id", "k_text", "r.*")
+    found = cut(once(some, "r", keyed(F.col("text"), least_words)).select("k_id", "k_text", "r.*"))
+    each = found.select("k_id", "k_text", F.explode(F.arrays_zip("at", "h")).alias("r")).select("k_id", "k_text", "r.*")
     often = each.groupBy("h").agg(F.count("*").alias("n"), F.min("k_id").alias("m")).filter("n > 1").select("h", F.hash("h").alias("g"), "m")
-    again = cut(each.withColumn("g", F.hash("h")).join(often, ["h", "g"]).select("h", "g", "k_id", "k_text", "at", (F.col("k_id") > F.col("m")).alias("late")))
+    again = cut(each.withColumn("g", F.hash("h")).join(often, ["h", "g"]).select("h", "k_id", "k_text", "at", (F.col("k_id") > F.col("m")).alias("late")))
     # of runs with equal keys, `at` sorts as the first positions do; only those of the least k_id need more than it to be ordered
-    even = again.filter("not late").select("h", "g", "k_id", "k_text", "at")
+    even = again.filter("not late").select("h", F.hash("h").alias("g"), "k_id", "k_text", "at")
     first = even.groupBy("h").agg(F.min(F.struct("k_text", "at")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("h", F.hash("h").alias("g"), "o")
     later = even.join(first, ["h", "g"]).filter(F.struct("k_text", "at") > F.col("o")).select("k_id", "k_text", "at")
     return again.filter("late").select("k_id", "k_text", "at").union(later).groupBy("k_id", "k_text").agg(F.collect_set("at").alias("runs"))
