@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, cut, let, once
+from .common import SPACE, SPACE_CHARS, let, once, stored
 
 LEAST_WORDS = 8
 #: Of the former rule (window minima, extended from the first position alone); the tests' oracle of that rule reads them.
@@ -103,19 +103,21 @@ def removed_runs(rows: DataFrame, least_words: int) -> DataFrame:
     """k_id, k_text and runs: for each document with repeated lines, its runs (as in `runs`) that occur earlier.
 
     rows: k_id (a long, null as the least), k_text (a hash of the text) and text. Only hashes of runs are shuffled, once for
-    each document with a word; texts are cut into lines here alone. Repeated keys are joined by a second hash as well, so both
-    sides are dealt for the join itself and adaptive execution may split the partition of a key that a third of all rows hold.
+    each document with a word; texts are cut into lines here alone. What repeated keys are joined with is read back from a
+    store, so both sides are dealt for the join itself and adaptive execution may split the partition of a key that a third
+    of all rows hold.
     """
     some = rows.filter(F.btrim("text", F.lit(SPACE_CHARS)) != "")
-    found = cut(once(some, "r", keyed(F.col("text"), least_words)).select("k_id", "k_text", "r.*"))
+    found = stored(once(some, "r", keyed(F.col("text"), least_words)).select("k_id", "k_text", "r.*"), "runs")
     each = found.select("k_id", "k_text", F.explode(F.arrays_zip("at", "h")).alias("r")).select("k_id", "k_text", "r.*")
-    often = each.groupBy("h").agg(F.count("*").alias("n"), F.min("k_id").alias("m")).filter("n > 1").select("h", F.hash("h").alias("g"), "m")
-    again = cut(each.withColumn("g", F.hash("h")).join(often, ["h", "g"]).select("h", "k_id", "k_text", "at", (F.col("k_id") > F.col("m")).alias("late")))
+    often = stored(each.groupBy("h").agg(F.count("*").alias("n"), F.min("k_id").alias("m")).filter("n > 1").select("h", "m"), "repeated")
+    late = F.col("k_id") > F.col("m")
+    again = stored(each.join(often, "h").select(F.when(~late, F.col("h")).alias("h"), "k_id", "k_text", "at"), "again")
     # of runs with equal keys, `at` sorts as the first positions do; only those of the least k_id need more than it to be ordered
-    even = again.filter("not late").select("h", F.hash("h").alias("g"), "k_id", "k_text", "at")
-    first = even.groupBy("h").agg(F.min(F.struct("k_text", "at")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("h", F.hash("h").alias("g"), "o")
-    later = even.join(first, ["h", "g"]).filter(F.struct("k_text", "at") > F.col("o")).select("k_id", "k_text", "at")
-    return again.filter("late").select("k_id", "k_text", "at").union(later).groupBy("k_id", "k_text").agg(F.collect_set("at").alias("runs"))
+    even = again.filter("h is not null")
+    first = stored(even.groupBy("h").agg(F.min(F.struct("k_text", "at")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("h", "o"), "first")
+    later = even.join(first, "h").filter(F.struct("k_text", "at") > F.col("o")).select("k_id", "k_text", "at")
+    return again.filter("h is null").select("k_id", "k_text", "at").union(later).groupBy("k_id", "k_text").agg(F.collect_set("at").alias("runs"))
 
 
 def rid(text: Column, found: Column, least_words: int) -> Column:
