@@ -1,4 +1,10 @@
-"""Removal of runs of lines that occur earlier in the corpus, by hashes of shortest runs.
+"""Removal of runs of lines that occur earlier in the corpus, by winnowing with a window of one.
+
+Winnowing takes the least hash of each window of w neighbouring runs of k units; repeats of w + k - 1 units or more are
+guaranteed to share a fingerprint. Here a run is a shortest one of LEAST_WORDS words and w is 1, so every run is its window's
+minimum and the guarantee begins at LEAST_WORDS itself. Wider windows were tried: lines between two minima then stay where
+the minima have their first positions in other texts, so results weren't whole. Positions are joined by these fingerprints,
+and matches extend both ways as the neighbouring runs, taken forward and backward from each line, match too.
 
 A text is cut into lines: at line ends, and within long paragraphs after a sentence's end. Each line is a 64-bit hash. From
 every line the shortest run of LEAST_WORDS words forward and the shortest one backward is a key. Which lines such a run takes
@@ -14,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, let, once, stored
+from .common import SPACE, SPACE_CHARS, drop_dir, fresh_dir, let, once, stored
 
 LEAST_WORDS = 8
 #: Of the former rule (window minima, extended from the first position alone); the tests' oracle of that rule reads them.
@@ -107,17 +113,22 @@ def removed_runs(rows: DataFrame, least_words: int) -> DataFrame:
     store, so both sides are dealt for the join itself and adaptive execution may split the partition of a key that a third
     of all rows hold.
     """
+    spark = rows.sparkSession
+    top = fresh_dir(spark, "line-dedup")
     some = rows.filter(F.btrim("text", F.lit(SPACE_CHARS)) != "")
-    found = stored(once(some, "r", keyed(F.col("text"), least_words)).select("k_id", "k_text", "r.*"), "runs")
+    found = stored(once(some, "r", keyed(F.col("text"), least_words)).select("k_id", "k_text", "r.*"), f"{top}/runs")
     each = found.select("k_id", "k_text", F.explode(F.arrays_zip("at", "h")).alias("r")).select("k_id", "k_text", "r.*")
-    often = stored(each.groupBy("h").agg(F.count("*").alias("n"), F.min("k_id").alias("m")).filter("n > 1").select("h", "m"), "repeated")
+    often = stored(each.groupBy("h").agg(F.count("*").alias("n"), F.min("k_id").alias("m")).filter("n > 1").select("h", "m"), f"{top}/repeated")
     late = F.col("k_id") > F.col("m")
-    again = stored(each.join(often, "h").select(F.when(~late, F.col("h")).alias("h"), "k_id", "k_text", "at"), "again")
+    again = stored(each.join(often, "h").select(F.when(~late, F.col("h")).alias("h"), "k_id", "k_text", "at"), f"{top}/again")
     # of runs with equal keys, `at` sorts as the first positions do; only those of the least k_id need more than it to be ordered
     even = again.filter("h is not null")
-    first = stored(even.groupBy("h").agg(F.min(F.struct("k_text", "at")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("h", "o"), "first")
+    first = stored(even.groupBy("h").agg(F.min(F.struct("k_text", "at")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("h", "o"), f"{top}/first")
     later = even.join(first, "h").filter(F.struct("k_text", "at") > F.col("o")).select("k_id", "k_text", "at")
-    return again.filter("h is null").select("k_id", "k_text", "at").union(later).groupBy("k_id", "k_text").agg(F.collect_set("at").alias("runs"))
+    whole = again.filter("h is null").select("k_id", "k_text", "at").union(later).groupBy("k_id", "k_text").agg(F.collect_set("at").alias("runs"))
+    out = stored(whole, fresh_dir(spark, "removed-runs"))
+    drop_dir(spark, top)
+    return out
 
 
 def rid(text: Column, found: Column, least_words: int) -> Column:

@@ -25,9 +25,10 @@ from .common import cut, drop_dir, fresh_dir
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BUCKET = 192
-#: Fingerprints that a shard should hold, and the sampled ones for each shard that shape the dealing tree. A tree has MOST_SHARDS
-#: at most, so its sample is bounded; a shard that gets over OVERSIZE times its share is dealt again by a tree of its own.
-SHARD, SAMPLE, MOST_SHARDS, OVERSIZE = 4_096, 64, 16_384, 4
+#: Fingerprints that live in a shard, about, and the sampled ones for each shard that shape the dealing tree. A tree has
+#: MOST_SHARDS at most, so its sample is bounded; a shard where over OVERSIZE times its share live is dealt again by a tree of its
+#: own. Guests grow with the number of shards (1.4 copies of a point at 4, 13 at 1,024), so shards are large.
+SHARD, SAMPLE, MOST_SHARDS, OVERSIZE = 16_384, 64, 16_384, 4
 #: Two texts of similarity 0.8 share one of BANDS bands of ROWS minima with a chance of 0.998.
 SIMILARITY, BANDS, ROWS = 0.8, 16, 5
 #: Comparisons with one text that a task gets at a time.
@@ -229,10 +230,10 @@ def dealt(points: DataFrame, reach: int) -> DataFrame:
 
         now = cut(now.mapInArrow(send, "leaf long, fp long, home boolean"))
         # a row for each shard that is too large, not for each point
-        big = [r for r in now.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > OVERSIZE * SHARD).collect() if r.n < 0.9 * sizes.get(r.leaf, 1 << 62)]
+        big = [r for r in now.filter("home").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > OVERSIZE * SHARD).collect() if r.n < 0.9 * sizes.get(r.leaf, 1 << 62)]
         trees, first = {}, last + 1
         for r in big:
-            own = now.filter(F.col("leaf") == r.leaf).select("fp")
+            own = now.filter((F.col("leaf") == r.leaf) & F.col("home")).select("fp")
             nodes = fitted(r.n, lambda n, own=own, r=r: sampled(own, r.n, n))
             trees[r.leaf] = first, nodes
             sizes |= {first + k: r.n for k in range(len(nodes) + 1)}  # what doesn't become smaller isn't dealt again
@@ -322,7 +323,7 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
 def components(points: DataFrame, docs: DataFrame, near: DataFrame, shingle: int, least: float) -> DataFrame:
     """(node, root) of points that are linked: by `near` (a, b), or as their texts share a band and are similar.
 
-    points: node, the hash of a text, and bands. In each bucket of equal bands the least point is compared with all others,
+    points: node, the hash of a text, first.doc_id of a row that has it, and bands. In each bucket of equal bands the least point is compared with all others,
     not each with each. What is connected by then needs no further comparison. In a bucket that still holds several
     components, points outside its largest one are compared with those of other components: one of each component, then
     four, sixteen, until all had their turn. So each pair of a bucket is compared or connected.
@@ -332,8 +333,10 @@ def components(points: DataFrame, docs: DataFrame, near: DataFrame, shingle: int
     often = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).filter("n > 1").withColumn("g", F.hash("key"))
     members = cut(keyed.join(often, ["key", "g"]).select("key", "g", "node", "a", "n"))
     path = fresh_dir(spark, "texts")
-    rows = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
-    rows.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
+    # of copies of a text only the first row's is moved
+    wanted = points.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("f_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text").cast("string").alias("text"))
+    rows.join(wanted, rows.k_id.eqNullSafe(wanted.f_id) & (rows.k_text == wanted.node)).select("node", "text").dropDuplicates(["node"]).write.parquet(path)
     texts = spark.read.parquet(path)
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -373,7 +376,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, reach: int = 3, least: float = S
     equal = points.withColumn("g", F.hash("fp")).join(ends.withColumn("g", F.hash("fp")), ["fp", "g"]).filter("node != end").select(F.col("node").alias("a"), F.col("end").alias("b"))
     ball = links(ends.select("fp"), reach)
     ball = ball.join(ends.withColumnsRenamed({"fp": "a", "end": "x"}), "a").join(ends.withColumnsRenamed({"fp": "b", "end": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = components(points.select("node", "bands"), docs, equal.union(ball), shingle, least)
+    found = components(points, docs, equal.union(ball), shingle, least)
     grouped = points.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("first.none", "first.doc_id", F.col("node").alias("k_text")).alias("first"))
     first = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"))
