@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, fresh_dir, let, once, words
+from .common import SPACE, cut, let, once, words
 
 # Frequent function words of each language; "" stands for any other language.
 COMMON = {
@@ -182,6 +182,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with their own columns."""
-    path = fresh_dir(docs.sparkSession, "measured")
-    measured(docs).write.parquet(path)
-    return judged(docs.sparkSession.read.parquet(path)).filter("rules.kept").select("doc.*")
+    return judged(cut(measured(docs))).filter("rules.kept").select("doc.*")
