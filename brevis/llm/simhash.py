@@ -262,23 +262,26 @@ def contract(edges: DataFrame) -> DataFrame:
     """(node, root) of each node that has a link, root being the least node of its component.
 
     Rounds of large-star and small-star: each node's greater neighbours are linked to its least one, then each node's
-    lesser ones. Every round is read back from the shared folder. Stars of a hot centre are summed up before the shuffle,
-    because only the least neighbour of a node is gathered; they are joined by a second hash as well, so both sides are dealt
-    for the join itself and adaptive execution may split a hot centre's partition.
+    lesser ones, until all links are stars, which links that are stars already pass without a round. Every round is read
+    back from the shared folder. Stars of a hot centre are summed up before the shuffle, because only the least neighbour of
+    a node is gathered; they are joined by a second hash as well, so both sides are dealt for the join itself and adaptive
+    execution may split a hot centre's partition.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("g", F.hash("a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.hash("a").alias("g"), F.least("a", "m").alias("m"))
+        # both ends of a link by one pass over it, as a union would read the links twice
+        ends = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        # in a star a lesser end has no link of its own to a lesser one, and a greater end has one
+        lesser = F.count_if(F.col("b") < F.col("a"))
+        if ends.groupBy("a").agg(lesser.alias("low"), F.count("*").alias("n")).filter("low > 0 and n > 1").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        both = ends.withColumn("g", F.hash("a"))
+        least = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.hash("a").alias("g"), F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, ["a", "g"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct().withColumn("g", F.hash("a"))
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumn("g", F.hash("a"))
-        small = large.join(low, ["a", "g"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        after = cut(small.filter("a != b").distinct())
-        stars = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        before = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        now = after
-        if tuple(stars) == tuple(before):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        # a node's own link takes the row of its least neighbour, which needs none
+        small = large.join(low, ["a", "g"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        now = cut(small.distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,7 +346,7 @@ def components(points: DataFrame, docs: DataFrame, near: DataFrame, shingle: int
         each = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n"))
         return alike(each, texts, shingle, least)
 
-    found = cut(near.union(linked(members.filter("node != a").select("a", F.col("node").alias("b"), "n"))))
+    found = near.union(linked(members.filter("node != a").select("a", F.col("node").alias("b"), "n")))
     members, share = members.select("key", "g", "node", (F.col("node") == F.col("a")).alias("tried")), 1
     while True:
         roots = contract(found)
@@ -357,7 +360,7 @@ def components(points: DataFrame, docs: DataFrame, near: DataFrame, shingle: int
             drop_dir(spark, path)  # the roots are read back from a store of their own
             return roots
         pairs = now.filter("not tried").join(centers, ["key", "g"]).filter("root != a_root").select("a", F.col("node").alias("b"), "n")
-        found = cut(found.union(linked(pairs)))
+        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(pairs))  # the stars stand for the links before
         done = centers.select("key", "g", F.col("a").alias("node"), F.lit(True).alias("done"))
         members = now.join(done, ["key", "g", "node"], "left").select("key", "g", "node", (F.col("tried") | F.col("done").isNotNull()).alias("tried"))
         share *= 4
