@@ -179,3 +179,18 @@ def test_similar_texts_leave_one(spark, monkeypatch):
     monkeypatch.setattr(S, "band_keys", lambda h, bands, rows: [len(h) // 50, 7][: max(1, bands)] if len(h) else None)
     few = docs.filter("doc_id < 7")  # all of them in one bucket
     assert {r.doc_id for r in S.keep_one(few).collect()} == {min(i for i in range(7) if find(i) == r) for r in {find(i) for i in range(7)}}
+
+
+def test_contraction_of_paths_and_cycles(spark):
+    random.seed(3)
+    names = random.sample(range(-1000, 1000), 60)
+    edges = list(zip(names[:20], names[1:21])) + [(names[25], x) for x in names[26:40]] + [(x, x) for x in names[41:43]]
+    edges += list(zip(names[45:55], names[46:55] + names[45:46])) + [(names[56], names[57]), (names[57], names[56])]
+    root = {x: x for x in names}
+    for _ in names:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = S.contract(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.node, r.root) for r in got} == {(x, root[x]) for x in linked if root[x] != x} and len(got) == len({r.node for r in got})
+    assert S.contract(spark.createDataFrame([], "a long, b long")).collect() == []
